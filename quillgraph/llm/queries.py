@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .packing import op7_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
 from .token_counts import op5_token_counts
@@ -10,7 +11,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op5_token_counts, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op5_token_counts, op7_packing, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
