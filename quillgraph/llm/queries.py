@@ -8,11 +8,12 @@ from .simhash import op10_simhash
 from .token_counts import op5_token_counts
 from .token_files import op3_token_files
 from .toxicity import op1_toxicity
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op5_token_counts, op7_packing, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op5_token_counts, op7_packing, op8_warc, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": OP9_SQL}
+    return {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
