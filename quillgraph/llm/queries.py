@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .dedup import op2_suffix_dedup
 from .packing import op7_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
@@ -13,7 +14,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_token_files, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
