@@ -62,12 +62,17 @@ def drop(df: DataFrame) -> None:
                 _LIVE.remove(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete all but the ``keep`` newest scratch tables; call it once their readers are done."""
-    gone = _LIVE[: len(_LIVE) - keep]
-    for path in gone:
-        delete(spark, path)
-        _LIVE.remove(path)
+def live() -> list[str]:
+    """Paths of the scratch tables not yet deleted, oldest first."""
+    return list(_LIVE)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables, once what reads them has run."""
+    for path in paths:
+        if path in _LIVE:
+            delete(spark, path)
+            _LIVE.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
