@@ -410,5 +410,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(work, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", size: int = 100) -> DataFrame:
+    """The rows of ``df``, all columns, with what ``remove_repeats`` keeps of each text as the text.
+
+    A character of which only some bytes are kept goes too.  ``chars_col``, if there is such a
+    column, gets the new number of characters.  A null text stays null.
+    """
+    own = df.withColumns({"_pos": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_tie": F.expr(f"cast(xxhash64(coalesce(cast({text_col} AS string), '')) & 2147483647 AS int)")})
+    spans = repeated_spans(positioned(df, id_col, text_col), size).select(F.col("pos").alias("_pos"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
+    joined = own.join(spans, ["_pos", "_tie"], "left").select(*df.columns, "_spans")
+
+    def work(batches):
+        import pyarrow as pa
+
+        from .common import slices
+        from .text import utf8
+
+        for part in slices(batches, text_col):
+            data, offsets = utf8(part.column(text_col))
+            texts = part.column(text_col).to_pylist()
+            for i, spans in enumerate(part.column("_spans").to_pylist()):
+                if spans:
+                    text = data[offsets[i] : offsets[i + 1]]
+                    texts[i] = text[~removed_mask(spans, len(text))].tobytes().decode("utf-8", "ignore")
+            part = part.drop_columns(["_spans"])
+            yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(texts, part.schema.field(text_col).type))
+
+    out = joined.mapInArrow(work, df.schema)
+    return out.withColumn(chars_col, F.char_length(text_col).cast(df.schema[chars_col].dataType)) if chars_col in df.columns else out
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op6_decontaminate
 from .dedup import op2_suffix_dedup
+from .lm_scoring import op4_lm_scoring
 from .packing import op7_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
@@ -14,8 +17,9 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_token_files, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_token_files, op4_lm_scoring, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
+    found = {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -137,34 +137,58 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return index[1:], weight[1:], float(weight[0]) if len(index) else None
 
 
+def _scorer(sent, bits: int):
+    """Arrow batch -> scores, from a broadcast model."""
+    import numpy as np
+
+    from .text import utf8
+
+    index, weight, bias = sent.value
+    known = np.zeros(1 << bits, bool)
+    known[index] = True
+
+    def scores(text):
+        n = len(text)
+        if bias is None:
+            return np.zeros(n)
+        data, offsets = utf8(text)
+        row, at = features(data, offsets, bits)
+        hit = known[at]
+        both = np.unique(row[hit] << bits | at[hit])
+        total = np.bincount(both >> bits, weights=weight[np.searchsorted(index, both & ((1 << bits) - 1))], minlength=n) + bias
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    return scores
+
+
+def drop_toxic(documents: DataFrame, model: tuple, text_col: str = "text", bits: int = 21) -> DataFrame:
+    """The rows of ``documents``, all columns, that score below 0.5; one pass, no shuffle."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        import pyarrow as pa
+
+        scores = _scorer(sent, bits)
+        for part in slices(batches, text_col, 1 << 20):
+            yield part.filter(pa.array(scores(part.column(text_col)) < 0.5))
+
+    return map_texts(documents, work, documents.schema)
+
+
 def score(documents: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", bits: int = 21) -> DataFrame:
     """(doc_id, score, predicted) for each row; without a model every score is 0.
 
     A null text scores as an empty one (the bias alone); null ids stay null; repeated rows give
     repeated rows; other columns are not read.
     """
-    index, weight, bias = model
-    sent = documents.sparkSession.sparkContext.broadcast((index, weight, bias))
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        import numpy as np
         import pyarrow as pa
 
-        from .text import utf8
-
-        index, weight, bias = sent.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[index] = 1
+        scores = _scorer(sent, bits)
         for part in slices(batches, limit=1 << 20):
-            total = np.zeros(part.num_rows)
-            if bias is not None:
-                data, offsets = utf8(part.column("text"))
-                row, at = features(data, offsets, bits)
-                hit = dense[at] > 0
-                both = np.unique(row[hit] << bits | at[hit])
-                total = np.bincount(both >> bits, weights=weight[np.searchsorted(index, both & ((1 << bits) - 1))], minlength=part.num_rows) + bias
-                total = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(part.column("text")))], names=["doc_id", "score"])
 
     scored = map_texts(id_and_text(documents, id_col, text_col), work, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
