@@ -34,7 +34,8 @@ RULES = (
     Rule("too_long", "n_words > 100000"),
     Rule("mean_word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule("symbol_ratio", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * size(_lines)"),
+    Rule("duplicate_lines", "2 * n_dup_lines > size(_lines)"),
+    Rule("stutter", "5 * size(filter(_words, (w, i) -> w = get(_words, i - 1))) > n_words"),
     Rule("few_letters", rf"10 * size(filter(_words, w -> w RLIKE '[A-Za-z\\u0080-\\uFFFF]')) < 7 * n_words"),
     Rule("bullets", r"10 * size(filter(_lines, l -> l RLIKE '^[\\x20\\x09-\\x0D]*[-*]')) > 9 * size(_lines)"),
     Rule("ellipses", r"10 * size(filter(_lines, l -> l RLIKE '[.]{3}[\\x20\\x09-\\x0D]*$')) > 3 * size(_lines)"),
@@ -122,7 +123,7 @@ a AS (SELECT c.*, coalesce(o.n, 0) AS n_repeat_words FROM c LEFT JOIN o USING (r
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words <= 100000 AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 10 * n_symbols <= n_words
-       AND 10 * n_dup_lines <= 3 * len(ls) AND 10 * len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{FFFF}]'))) >= 7 * n_words
+       AND 2 * n_dup_lines <= len(ls) AND 5 * len(list_filter(ws, lambda x, i: i > 1 AND x = ws[i - 1])) <= n_words AND 10 * len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{FFFF}]'))) >= 7 * n_words
        AND 10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*]'))) <= 9 * len(ls)
        AND 10 * len(list_filter(ls, lambda x: regexp_matches(x, '[.]{3}[\x20\x09-\x0D]*$'))) <= 3 * len(ls) AS kept
 FROM b
