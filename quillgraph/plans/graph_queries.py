@@ -512,21 +512,21 @@ def average_rank_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(g: RelGraph, budgets: list[int]) -> DataFrame:
-    """(budget, f1) of the degree sampler and the neighbour vote on the largest component."""
-    inner = largest_component(g)
+    """(budget, f1) of the degree sampler and the neighbour vote; graph and split are written once, a row for each budget."""
+    inner = RelGraph(scratch.materialise(g.nodes, "nodes"), scratch.materialise(g.edges, "graph"))
     split = scratch.materialise(sampling.stratified_split(inner.nodes, 0.8, SEED), "split")
     train, test = split.where("is_train"), split.where("not is_train")
-    out = None
+    rows = []
     for budget in budgets:
-        picks = sampling.by_degree(inner, budget, train, SEED)
-        one = micro_f1(models.wvrn(inner, picks, test), []).select(F.lit(budget).alias("budget"), F.round("f1", 9).alias("f1"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        picks = scratch.materialise(sampling.by_degree(inner, budget, train, SEED), "picks")
+        got = micro_f1(scratch.materialise(models.wvrn(inner, picks, test), "votes"), []).select(F.round("f1", 9).alias("f1")).first()
+        rows.append((budget, got["f1"] if got else None))
+    return inner.nodes.sparkSession.createDataFrame(rows, "budget int, f1 double")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Micro-F1 of the neighbour vote by labelling budget, labels chosen by degree."""
-    return _sweep(co_order(spark, d), [32, 64, 96, 128])
+    return _sweep(largest_component(co_order(spark, d)), [32, 64, 96, 128])
 
 
 _ONE = """l{b} AS (SELECT s.node_id, s.label FROM s JOIN d USING (node_id) WHERE is_train ORDER BY degree DESC, s.node_id LIMIT {b}), pr{b} AS (SELECT label, count(*) / CAST((SELECT count(*) FROM l{b}) AS DOUBLE) AS prior FROM l{b} GROUP BY 1),
@@ -538,14 +538,7 @@ y{b} AS (SELECT g.label, z.label AS pred FROM (SELECT *, row_number() OVER (PART
 
 @query("budget_sweep", f"WITH {F1}, {SPLIT}, {_DEGREE}, " + ", ".join(_ONE.format(b=b) for b in (32, 64, 96, 128)) + " " + " UNION ALL ".join(f"SELECT CAST({b} AS INT) AS budget, {_F1_SCORE.replace('FROM y)', f'FROM y{b})')} AS f1 FROM y{b}" for b in (32, 64, 96, 128)))
 def budget_sweep(spark: SparkSession, d: str) -> DataFrame:
-    g = co_order(spark, d)
-    split = scratch.materialise(sampling.stratified_split(g.nodes, 0.8, SEED), "split")
-    train, test = split.where("is_train"), split.where("not is_train")
-    out = None
-    for budget in (32, 64, 96, 128):
-        one = micro_f1(models.wvrn(g, sampling.by_degree(g, budget, train, SEED), test), []).select(F.lit(budget).alias("budget"), F.round("f1", 9).alias("f1"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _sweep(co_order(spark, d), [32, 64, 96, 128])
 
 
 # one round of colours needs no iteration, so SQL can say it
