@@ -178,8 +178,9 @@ def deal(texts: DataFrame, size: int, tasks: int, crowded) -> DataFrame:
                     if len(k):
                         rows.append((b, "w", pack(one[k], two[k], wpos[k], wtie[k].astype("i4"), wstart[k].astype("i4"))))
             pos, tie, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-            if len(pos):
-                rows.append((turn % tasks, "s", pack(pos, tie.astype("i4"), start.astype("i4"), end.astype("i4"))))
+            for i in range(0, len(pos), 8192):  # a few at a time, so that no bucket gets all of a task's
+                k = slice(i, i + 8192)
+                rows.append(((turn * 31 + i // 8192) % tasks, "s", pack(pos[k], tie[k].astype("i4"), start[k].astype("i4"), end[k].astype("i4"))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
         from pyspark import TaskContext
