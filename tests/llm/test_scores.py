@@ -89,6 +89,17 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_lexical_share_is_of_the_past():
+    rng = np.random.default_rng(2)
+    odds, row = rng.normal(0, 4, 60), np.sort(rng.integers(0, 5, 60))
+    odds[7] = -np.inf
+    got = lm_scoring.lexical_share(odds, row, (3.0, 1.0))
+    for i in range(60):
+        before = [1 / (1 + math.exp(-odds[k])) if np.isfinite(odds[k]) else 0.0 for k in range(i) if row[k] == row[i]]
+        assert got[i] == pytest.approx((sum(before) + 3) / (len(before) + 4))
+    assert ((got > 0) & (got < 1)).all()
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     rng = random.Random(6)
     syllables = ["ka", "to", "mi", "re", "lu"]
