@@ -111,6 +111,38 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert np.mean(held) < 2.2 < got[odd]["bits_per_byte"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 300_000])
+def test_lm_holds_what_contexts_have_seen(n):
+    from quillgraph.llm.huffman import code_lengths
+
+    rng = np.random.default_rng(n)
+    decisions = lm_scoring.Decisions(code_lengths(rng.integers(1, 1000, 256), 12))
+    context = rng.integers(0, 1 << lm_scoring.CONTEXT, n // 3 + 1, dtype=np.uint64)[rng.integers(0, n // 3 + 1, n)]
+    pairs = np.unique(context << np.uint64(8) | rng.integers(97, 105, n).astype(np.uint64))
+    counts = rng.integers(1, 50, len(pairs))
+    table = lm_scoring.Seen([lm_scoring.unpack_pairs(lm_scoring.pack_pairs(pairs, counts))], decisions)
+    entry, _, node, outcome = decisions.expand(pairs.astype(np.uint8))
+    place = lm_scoring.marks(pairs >> np.uint64(8) << np.uint64(64 - lm_scoring.CONTEXT), entry, node)
+    each, at = np.unique(place, return_inverse=True)
+    sums = np.stack([np.bincount(at, weights=counts[entry] * (outcome == x), minlength=len(each)) for x in (0, 1)], axis=1)
+    assert np.mean(table.odds(each) != lm_scoring.stretch(sums)) < 0.01 if n else not table.cells.any()
+    other = np.setdiff1d(rng.integers(0, 1 << 32, 100_000, dtype=np.uint32), each)
+    assert np.mean(table.odds(other) != 0) < 0.01
+
+
+def test_lm_learns_every_context(spark):
+    """Held-out copies of training texts are all but certain, however many contexts the corpus has and however it is dealt out."""
+    rng = random.Random(8)
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    kept = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2][:400]
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(80))) for i in kept]
+    rows += [(i, t) for i, (_, t) in zip(held, rows, strict=False)]
+    got = [sorted((r["doc_id"], r["bits_per_byte"]) for r in lm_scoring.score(h.table(spark, rows), unit_bytes=u).collect()) for u in (16 << 20, 50_000)]
+    assert np.mean([b for d, b in got[0] if d in held]) < 1.2
+    assert [d for d, _ in got[0]] == [d for d, _ in got[1]]
+    assert np.mean(np.abs(np.array([b for _, b in got[0]]) - [b for _, b in got[1]])) < 0.02
+
+
 def test_quality(spark):
     rows = [(d, None if t is None else t.replace("\x00", "")) for d, t in h.texts()] + [(700, " ".join(f"w{i % 9}" for i in range(40))), (701, "# $ % " * 20), (702, "- item of a list here\n" * 3 + "word " * 30)]
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
