@@ -1,0 +1,147 @@
+"""Near-duplicates by Jaccard similarity of shingle sets: an exact join by prefixes, then components.
+
+Two sets that are similar enough share some of the first shingles of each, in any order that all
+sets follow: k of them, if each set is taken k - 1 shingles further than for one.  Only these first
+shingles are dealt out; the whole sets of the pairs that met often enough decide.  Shingles that are frequent in a sample come
+last in the order, so few pairs meet for nothing.  Equal sets are one from the start.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.components import connected_components
+from ..plans import scratch
+from .common import id_and_text, map_texts, slices
+
+
+def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, sig, n, grams): the distinct shingles of each row's lower-cased words, sorted; fewer words are one shingle.  Equal sets have equal sig."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .text import LOWER, SpanHash, mix, rows_of, shingle_hash, utf8, words_at
+
+        for part in slices(batches, limit=1 << 20):
+            data, offsets = utf8(part.column("text"))
+            data = LOWER[data]
+            starts, ends = words_at(data, offsets)
+            n = part.num_rows
+            words, row = SpanHash(data)(starts, ends), rows_of(starts, offsets)
+            own, grams = [], []
+            count = np.bincount(row, minlength=n)
+            for span in range(1, shingle + 1):
+                fits = count == span if span < shingle else count >= shingle
+                take = fits[row]
+                h, of = shingle_hash(words[take], span), row[take]
+                whole = of[: len(h)] == of[span - 1 :][: len(h)]
+                own.append(of[: len(h)][whole])
+                grams.append(h[whole])
+            own, grams = np.concatenate(own), np.concatenate(grams)
+            order = np.lexsort((grams, own))
+            own, grams = own[order], grams[order]
+            fresh = np.r_[True, (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])][: len(own)]
+            own, grams = own[fresh], grams[fresh]
+            size = np.bincount(own, minlength=n)
+            total = np.r_[np.uint64(0), np.cumsum(mix(grams), dtype=np.uint64)]
+            at = np.r_[0, np.cumsum(size)]
+            sig = mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sig.view(np.int64)), pa.array(size.astype(np.int32)), lists], names=["doc_id", "sig", "n", "grams"])
+
+    return map_texts(df, work, "doc_id long, sig long, n int, grams array<long>")
+
+
+def needed(n):
+    """How many of its first shingles a set of n must share with one of its size or more."""
+    import numpy as np
+
+    return np.maximum(n // 16, 1)
+
+
+def meetings(sets: DataFrame, least: float, frequent: list[int]) -> DataFrame:
+    """(a, b) sigs, a < b, of sets that share enough of their first shingles and whose sizes allow ``least``."""
+    spark = sets.sparkSession
+    sent = spark.sparkContext.broadcast(frequent)
+
+    def first(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        late = np.sort(np.array(sent.value, np.int64))
+        for batch in batches:
+            grams, n = batch.column("grams"), batch.column("n").to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            values = grams.flatten().to_numpy()
+            hot = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
+            order = np.lexsort((values, hot, row))
+            begin = np.cumsum(n) - n
+            # rounded down a little, so that a product just above a whole number doesn't cost a shingle
+            prefix = n - np.ceil(least * n - 1e-9).astype(np.int64) + needed(n)
+            keep = order[np.arange(len(row)) - begin[row] < prefix[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column("sig").take(pa.array(row[keep])), pa.array(n[row[keep]])], names=["gram", "sig", "n"])
+
+    def meet(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .bpe import spread
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        gram, sig, n = (t.column(c).to_numpy() for c in ("gram", "sig", "n"))
+        order = np.lexsort((sig, n, gram))
+        gram, sig, n = gram[order], sig[order], n[order].astype(np.int64)
+        fresh = np.r_[True, (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])]
+        gram, sig, n = gram[fresh], sig[fresh], n[fresh]
+        # of one shingle, those after each that are not too large for it
+        group = np.cumsum(np.r_[0, gram[1:] != gram[:-1]])
+        most = int(n.max()) + 1
+        end = np.searchsorted(group * (2 * most) + n, group * (2 * most) + np.minimum(np.floor(n / least + 1e-9).astype(np.int64), most), "right")
+        partners = end - np.arange(len(n)) - 1
+        cuts = np.searchsorted(np.cumsum(partners), np.arange(0, partners.sum() + (1 << 18), 1 << 18), "left")
+        cuts[0], cuts[-1] = 0, len(n)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if partners[i:j].sum():
+                x, y = np.repeat(np.arange(i, j), partners[i:j]), spread(np.arange(i, j) + 1, partners[i:j])
+                a, b, least_hits = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y]), needed(np.minimum(n[x], n[y]))
+                order = np.lexsort((b, a))
+                a, b, least_hits = a[order], b[order], least_hits[order]
+                at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.r_[at, len(a)])), pa.array(least_hits[at].astype(np.int64))], names=["a", "b", "hits", "need"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.where("n > 0").select("sig", "n", "grams").mapInArrow(first, "gram long, sig long, n int")
+    return dealt.repartition(tasks, "gram").mapInArrow(meet, "a long, b long, hits long, need long").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("a", "b")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, sample: int = 4000, most_frequent: int = 50_000) -> DataFrame:
+    """(doc_id, component_id) for each row with an id; component_id is the smallest doc_id reachable over pairs of similarity ``least`` or more.
+
+    Texts without words are equal.  The sample only orders the shingles; it doesn't change the result.
+    """
+    texts = id_and_text(df, id_col, text_col).where("doc_id is not null")
+    # the sets themselves are made anew where they are needed, as they are larger than the texts
+    sets = scratch.materialise(shingle_sets(texts, shingle).select("doc_id", "sig"), "sets")
+    share = max(1, sets.count() // sample)
+    some = shingle_sets(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), shingle).dropDuplicates(["sig"])
+    often = some.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 2")
+    frequent = [r[0] for r in often.orderBy(F.desc("count"), "gram").limit(most_frequent).select("gram").collect()]
+    met = scratch.materialise(meetings(shingle_sets(texts, shingle), least, frequent), "met")
+    named = scratch.materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("rep")), "named")
+    keys = met.select(F.col("a").alias("sig")).union(met.select(F.col("b").alias("sig"))).distinct()
+    ids = named.join(keys, "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    made = shingle_sets(texts.join(ids, "doc_id", "left_semi"), shingle).join(keys, "sig", "left_semi")
+    whole = scratch.materialise(made.select("sig", "n", "grams").dropDuplicates(["sig"]), "whole")
+    left, right = (whole.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"grams_{k}")) for k in ("a", "b"))
+    both = met.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
+    alike = both.where(F.col("common") + F.lit(1e-9) >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("common")))
+    links = alike.select("a", "b").join(named.select(F.col("sig").alias("a"), F.col("rep").alias("u")), "a").join(named.select(F.col("sig").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    joined = connected_components(links)
+    of = named.join(joined.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+    return sets.join(of, "sig").select("doc_id", "component_id")

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillgraph.llm import decontaminate, dedup, simhash
+import corpus_pipeline
+from quillgraph.llm import decontaminate, dedup, set_join, simhash
 from quillgraph.llm.gray_index import GrayIndex, forest, gray_rank
 from quillgraph.llm.suffix_array import Block
 
@@ -75,6 +76,38 @@ def test_near_duplicates(spark, cap):
     assert {r["component_id"] for r in got if r["doc_id"] in (100, 101, 102)} == {100}
 
 
+def test_similar_groups(spark):
+    """Groups of the pipeline's stage against every pair of shingle sets, at and around the similarity asked for."""
+    rng = random.Random(4)
+    rows = h.texts(5)
+    for k in range(30):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([4, 9, 30, 120, 300]))]
+        rows.append((1000 + 10 * k, " ".join(words)))
+        for j in range(1, 4):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) * j // 120)):
+                changed[at] = "other"
+            rows.append((1000 + 10 * k + j, " ".join(changed).upper()))
+    sets = []
+    for d, t in rows:
+        w = h.words(t)
+        sets.append({" ".join(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if None not in (rows[i][0], rows[j][0]) and (rows[i][0] == rows[j][0] or sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    root = roots(len(rows), links)
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    want = Counter((d, least[r]) for (d, _), r in zip(rows, root, strict=True) if d is not None)
+    assert sum(1000 <= d != c for d, c in want) > 20 and any(d != c and abs(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) - 0.85) < 0.05 for i, j in links if sets[i] for d, c in [(i, j)])
+    assert Counter(map(tuple, set_join.similar_groups(h.table(spark, rows)).collect())) == want
+    assert Counter(map(tuple, set_join.similar_groups(h.table(spark, rows), sample=1, most_frequent=3).collect())) == want
+    assert set_join.similar_groups(h.empty(spark)).count() == 0
+    docs = h.table(spark, rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {r[0] for r in kept.select("doc_id").collect()} == {None} | set(least.values())
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(h.empty(spark)).count() == 0
     assert dedup.remove_repeats(h.empty(spark)).count() == 0
