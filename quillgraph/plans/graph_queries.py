@@ -20,7 +20,7 @@ from .synth import planted_graph
 SEED = 7
 #: Training nodes and labelled nodes of the queries, as SQL over the graph's nodes.
 SPLIT = f"s AS (SELECT node_id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_key(SEED, 'split', 'node_id')}, node_id) <= greatest(floor(count(*) OVER (PARTITION BY label) * 0.8 + 0.5), 1) AS is_train FROM g)"
-#: The seeds of neighbourhood queries.
+#: The seeds of the k-hop queries, whose SQL has them.
 FEW = 20
 
 
@@ -567,7 +567,7 @@ def _small(spark: SparkSession, d: str) -> tuple[RelGraph, DataFrame, DataFrame]
 @query("wl_colours")
 def wl_colours(spark: SparkSession, d: str) -> DataFrame:
     g = co_order(spark, d)
-    members, inner = structure.egos(g.edges, g.nodes.orderBy("node_id").limit(FEW), 2)
+    members, inner = structure.egos(g.edges, g.nodes, 2)
     return structure.refine_colours(scratch.materialise(members, "m"), scratch.materialise(inner, "i"))
 
 
@@ -658,7 +658,7 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 @query("random_walks")
 def random_walks(spark: SparkSession, d: str) -> DataFrame:
     g = co_order(spark, d)
-    return structure.random_walks(g.adj, g.nodes.orderBy("node_id").limit(FEW), 4, SEED, self_avoiding=True)
+    return structure.random_walks(g.adj, g.nodes, 4, SEED, self_avoiding=True)
 
 
 @query("synthetic_graph")

@@ -34,6 +34,12 @@ def test_gives_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize(("name", "of"), [("wl_colours", "ego"), ("random_walks", "start")])
+def test_every_node(spark, name, of):
+    nodes = {r[0] for r in graph_queries.co_order(spark, SF).nodes.select("node_id").collect()}
+    assert {r[0] for r in registry.queries()[name](spark, SF).select(of).collect()} == nodes
+
+
 def test_flagship(spark):
     rows = {r["budget"]: r["f1"] for r in graph_queries.flagship(spark, SF).collect()}
     assert sorted(rows) == [32, 64, 96, 128] and all(0 <= v <= 1 for v in rows.values())
