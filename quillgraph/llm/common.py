@@ -30,12 +30,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 
 def map_texts(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """mapInArrow with bounded batches and this package on the workers."""
+    """mapInArrow with this package on the workers; Spark bounds a batch by bytes, ``slices`` cuts it further."""
     scratch.ship(df.sparkSession)
-    scratch.bounded_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all columns of ``df`` (case ignored)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as long and the text alone, under fixed names; other columns can't clash then."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

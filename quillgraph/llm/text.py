@@ -89,8 +89,41 @@ def byte_values() -> np.ndarray:
     return _TABLES["values"]
 
 
+#: Spans up to this long are hashed eight bytes a round, all together; longer ones by XXH64, one by one.
+_ROUNDS = 64
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span: its bytes, eight at a time, and its length, mixed in turn (no linear structure)."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    short = np.minimum(size, 8)
+    keep = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    h = mix((eight[starts] & keep[short]) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    open_ = np.flatnonzero((size > 8) & (size <= 8 * _ROUNDS))
+    k = 8
+    while len(open_):
+        part = eight[starts[open_] + k] & keep[np.minimum(size[open_] - k, 8)]
+        h[open_] = mix(h[open_] * np.uint64(0x9FB21C651E98DF25) + part)
+        k += 8
+        open_ = open_[size[open_] > k]
+    long = np.flatnonzero(size > 8 * _ROUNDS)
+    if len(long):
+        import xxhash
+
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
 class SpanHash:
-    """Hashes of any spans of a byte array in constant time each, from one prefix sum."""
+    """Hashes of any spans of a byte array in constant time each, from one prefix sum.
+
+    Sums are modulo 2**64, which is sound for spans of some hundred bytes; words, which can be
+    of any length, have ``word_hash``.
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data) + 1)

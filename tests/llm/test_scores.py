@@ -13,9 +13,10 @@ from collections import Counter
 import duckdb
 import helpers as h
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillgraph.llm import lm_scoring, quality, toxicity, warc
+from quillgraph.llm import context_mixing, lm_scoring, quality, toxicity, warc
 from quillgraph.llm.text import SpanHash
 
 
@@ -70,34 +71,171 @@ def test_lm_base_scores(spark):
     assert lm_scoring.score(h.empty(spark)).count() == 0
 
 
+def tokens_of(text):
+    return context_mixing.Tokens(pa.array([text], pa.string()))
+
+
+def plain_model(rows, held, bits):
+    """(model, count of each word, followers of each two words) from dictionaries."""
+    counts, after, classed, letters = Counter(), {}, Counter(), (np.zeros((256, 256)), np.zeros((1 << context_mixing.SPELL_BITS, 256)))
+    seen = [t for (_, t), x in zip(rows, held, strict=True) if not x]
+    for text in seen:
+        t = tokens_of(text)
+        counts.update(t.hash.tolist())
+        for h, c in zip(t.hash.tolist(), (t.contexts() >> np.uint64(64 - bits)).tolist(), strict=True):
+            after.setdefault(c, Counter())[h >> 24 & 0xFFFF] += 1
+    end = int(context_mixing.END_HASH)
+    book = sorted(h for h, n in counts.items() if n > 1 and h != end)
+    place, done = {h: i for i, h in enumerate(book)}, set()
+    for text in seen:
+        t = tokens_of(text)
+        for i, (h, c) in enumerate(zip(t.hash.tolist(), t.classes().tolist(), strict=True)):
+            classed[c, place.get(h, len(book) + (h == end))] += 1
+            if h not in place and h != end and h not in done:
+                done.add(h)
+                word = bytes(t.data[t.start[i] : t.end[i]]) + b" "
+                _, slots = context_mixing.before(np.frombuffer(word, np.uint8), np.array([0]))
+                for k, b in enumerate(word):
+                    letters[0][word[k - 1] if k else 0, b] += 1
+                    letters[1][slots[k], b] += 1
+    table = np.zeros((context_mixing.CLASSES, len(book) + 2))
+    for (c, leaf), n in classed.items():
+        table[c, leaf] = n
+    own = np.array([counts[h] for h in book], np.int64)
+    return context_mixing.Model(np.array(book, np.uint64), own, 2, counts.total(), len(counts), counts[end], sum(n == 1 for n in counts.values()), table, letters), counts, after
+
+
+def plain_score(text, train, model, counts, after, bits, rate, calm):
+    """log10 probability of a text, one decision after the other."""
+    t, n_book = tokens_of(text), len(model.words)
+    place = {h: i for i, h in enumerate(model.words.tolist())}
+    weights, hits, seen = model_weights(), np.zeros(context_mixing.BUCKETS), np.zeros(context_mixing.BUCKETS)
+    waiting, total, run, done = [], 0.0, 0, 0
+    sigma = lambda v: 1 / (1 + math.exp(-v))
+
+    def decide(gate, *x):
+        nonlocal total, done
+        logit = sum(a * b for a, b in zip(weights[gate], x, strict=True))
+        sure, bucket = sigma(min(abs(logit), 20)), min(int(min(abs(logit), 20) * 2), context_mixing.BUCKETS - 1)
+        lack = min(max(1 - sure - hits[bucket] / (seen[bucket] + calm), (1 - sure) / 2), 0.99)
+        total += math.log(1 - lack if logit >= 0 else lack)
+        waiting.append((gate, x, 1 - sure if logit >= 0 else sure, bucket, 1 - sure if logit >= 0 else -sure))
+        if len(waiting) == (64 if done < 1 << 13 else 256 if done < 1 << 16 else 1024):
+            done += len(waiting)
+            for g, v, miss, b, odd in waiting:
+                for k in range(3):
+                    weights[g][k] += rate * miss * v[k]
+                hits[b] += odd
+                seen[b] += 1
+            waiting.clear()
+
+    for i, (h, c, kind) in enumerate(zip(t.hash.tolist(), (t.contexts() >> np.uint64(64 - bits)).tolist(), t.classes().tolist(), strict=True)):
+        own, found = h >> 24 & 0xFFFF, after.get(c, Counter())
+        most = min(found, key=lambda f: (-found[f], f)) if found else None
+        others = found.total() - train
+        true = False
+        if found and others > 0:
+            left = found[most] - (train and own == most)
+            true, n = own == most and left > 0, max(left, 1)
+            sign, reach = 1 if true else -1, min(run, 8)
+            decide(3 + 3 * min(reach, 2) + min(n, 3) - 1, sign * math.log((n + 0.2) / (max(others - n, 0) + 0.8)), sign, sign * reach)
+        run = run + 1 if true else 0
+        if true:
+            continue
+        left = counts[h] - train
+        leaf = n_book + 1 if h == int(context_mixing.END_HASH) else place.get(h, n_book)
+        leaf = n_book if leaf < n_book and left < model.least else leaf
+        tree = model.tree
+        for e in range(tree.begin[leaf], tree.begin[leaf] + min(tree.size[leaf], context_mixing.LEVELS)):
+            decide([0, 0, 1, 1, 1, 1, 2, 2][tree.depth[e]], model.odds[e + train * model.paths], model.by_class[kind, tree.node[e]] / context_mixing.ODDS * (1 if tree.bit[e] else -1), 0)
+        total += model.tail[kind, leaf]
+        if leaf == n_book:
+            known = left > 0
+            decide(12, (1 if known else -1) * math.log((1 - model.single) / model.single), 1 if known else -1, 0)
+            if known:
+                total += math.log(left / model.n_rare)
+                continue
+            word = np.frombuffer(bytes(t.data[t.start[i] : t.end[i]]) + b" ", np.uint8)
+            one, three = context_mixing.before(word, np.array([0]))
+            for b, x, y in zip(word.tolist(), one.tolist(), three.tolist(), strict=True):
+                tree = model.bytes
+                for e in range(tree.begin[b], tree.begin[b] + tree.size[b]):
+                    turn, node = 1 if tree.bit[e] else -1, tree.node[e]
+                    decide(13 + (tree.depth[e] >= 2) + (tree.depth[e] >= 5), turn * model.byte_zero[node], turn * model.byte_one[x, node] / context_mixing.ODDS, turn * model.byte_three[y, node] / context_mixing.ODDS)
+    return total / math.log(10)
+
+
+def model_weights():
+    return [[float(x) for x in row] for row in context_mixing.PRIOR]
+
+
+def test_lm_scores_one_decision_after_the_other(spark):
+    """Scores of a corpus dealt into several units against dictionaries and a loop."""
+    rng = random.Random(12)
+    rows = [(d, t) for d, t in h.texts(5) if d is not None] + [(2000 + i, h.sentence(rng, 60)) for i in range(30)]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    got = lm_scoring.score(h.table(spark, rows), unit_bytes=6000, rate=0.02).collect()
+    model, counts, after = plain_model(rows, held, 30)
+    want = {(d, t or ""): plain_score(t or "", int(not x), model, counts, after, 30, 0.02, 200.0) for (d, t), x in zip(rows, held, strict=True)}
+    own, plain = (sorted(x) for x in ([(r["doc_id"], r["score"]) for r in got], [(d, float(want[d, t or ""])) for d, t in rows]))
+    assert [d for d, _ in own] == [d for d, _ in plain]
+    assert [x for _, x in own] == pytest.approx([x for _, x in plain], rel=2e-5, abs=1e-3)
+    assert any(x for x in held) and len({r["held_out"] for r in got}) == 2
+
+
 def test_lm_is_a_distribution():
-    """The decisions' probabilities of all continuations of a context add up to one."""
-    rng = np.random.default_rng(0)
-    lengths = np.zeros(256, np.int64)
-    from quillgraph.llm.huffman import code_lengths
-
-    lengths = code_lengths(np.r_[rng.integers(1, 1000, 256)], 12)
-    decisions = lm_scoring.Decisions(lengths)
-    tables = rng.integers(-60, 60, (lm_scoring.ORDERS, 1 << 14)).astype(np.int8)
-    weights = rng.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.ORDERS)).astype(np.float32)
+    """The first token's probabilities over all words of the codebook, the end and a new word add up to one."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["the", "of", "cat", "tree", "x1", "und", "walks", f"n{rng.randint(0, 40)}"]) for _ in range(50))) for i in range(40)]
+    model, counts, _ = plain_model(rows, [False] * len(rows), 30)
     total = 0.0
-    for b in range(256):
-        text = np.array([97, 98, 99, b], np.uint8)
-        x, y, gate, real, at = lm_scoring.inputs(text, np.zeros(4, np.int64), np.array([0]), np.array([4]), decisions, tables, 14)
-        log2 = lm_scoring.mix(x, y, gate, real, weights, 0.0)
-        total += 2.0 ** float(log2[at[3] : at[3] + lengths[b]].sum())
+    words = {w for _, t in rows for w in t.split()}
+    for text in [*words, "", "unheardof"]:
+        t = tokens_of(text)
+        train = np.zeros(len(t.hash), np.int64)
+        none = np.zeros(len(t.hash), np.int64)
+        follow = context_mixing.followers(none, train, none, none, none)
+        t.kind = t.classes()
+        count = np.array([counts[x] for x in t.hash.tolist()])
+        leaf = model.leaves(model.symbols(t.hash), count)
+        x, gate, begin, size, _ = context_mixing.decisions(t, model, 0, 1, leaf, count, train, follow, none)
+        log = context_mixing.mixed(x, gate, np.array([x.shape[1]]), context_mixing.State(1))
+        if leaf[0] == len(model.words) and text != "unheardof":
+            continue
+        total += math.exp(log[gate < 3].sum() + model.tail[0, leaf[0]])
     assert total == pytest.approx(1.0, abs=1e-4)
-
-
-def test_lexical_share_is_of_the_past():
-    rng = np.random.default_rng(2)
-    odds, row = rng.normal(0, 4, 60), np.sort(rng.integers(0, 5, 60))
-    odds[7] = -np.inf
-    got = lm_scoring.lexical_share(odds, row, (3.0, 1.0))
-    for i in range(60):
-        before = [1 / (1 + math.exp(-odds[k])) if np.isfinite(odds[k]) else 0.0 for k in range(i) if row[k] == row[i]]
-        assert got[i] == pytest.approx((sum(before) + 3) / (len(before) + 4))
-    assert ((got > 0) & (got < 1)).all()
+    # the letters that may follow two others
+    tree, chance = model.bytes, np.zeros(256)
+    for b in range(256):
+        e = np.arange(tree.begin[b], tree.begin[b] + tree.size[b])
+        turn = np.where(tree.bit[e], 1, -1)
+        x = np.stack([model.byte_zero[tree.node[e]] * turn, model.byte_one[97, tree.node[e]] * turn / 14, model.byte_three[5, tree.node[e]] * turn / 14]).astype(np.float32)
+        chance[b] = math.exp(context_mixing.mixed(x, np.full(len(e), 13, np.int8), np.array([len(e)]), context_mixing.State(1)).sum())
+    assert chance.sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_long_text_in_pieces():
+    """One text alone is mixed in pieces; refinements fall at the same places but for the ends of pieces."""
+    rng = random.Random(3)
+    rows = [(0, h.sentence(rng, 4000)), (1, h.sentence(rng, 30))]
+    model, counts, _ = plain_model(rows, [False, True], 30)
+    t = tokens_of(rows[0][1])
+    none, count = np.zeros(len(t.hash), np.int64), np.array([counts[x] for x in t.hash.tolist()])
+    symbol, follow = model.symbols(t.hash), context_mixing.followers(none, none, none, none, none)
+    whole, cut = (context_mixing.costs(tokens_of(rows[0][1]), model, symbol, count, none, follow, piece=p) for p in (1 << 20, 999))
+    assert np.isfinite(whole).all() and abs(whole.sum() - cut.sum()) < 0.01 * abs(whole.sum())
+
+
+def test_lm_tells_long_words_apart(spark):
+    """Words of 1,024 bytes and more whose polynomial hashes modulo 2**64 are equal have counts of their own."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
+    rows = list(zip(ids, (word[:1024], word[1024:2048], word[:2048], word[2048:]), strict=True))
+    got = {r["doc_id"]: r for r in lm_scoring.score(h.table(spark, rows)).collect()}
+    # five kinds: four words and the end
+    assert all(got[i]["base_score"] == pytest.approx(math.log10(2 / (8 + 5 + 1)) + math.log10(5 / (8 + 5 + 1))) for i in ids)
 
 
 def test_lm_prefers_what_it_has_seen(spark):
@@ -111,25 +249,6 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert np.mean(held) < 2.2 < got[odd]["bits_per_byte"]
 
 
-@pytest.mark.parametrize("n", [0, 1, 300_000])
-def test_lm_holds_what_contexts_have_seen(n):
-    from quillgraph.llm.huffman import code_lengths
-
-    rng = np.random.default_rng(n)
-    decisions = lm_scoring.Decisions(code_lengths(rng.integers(1, 1000, 256), 12))
-    context = rng.integers(0, 1 << lm_scoring.CONTEXT, n // 3 + 1, dtype=np.uint64)[rng.integers(0, n // 3 + 1, n)]
-    pairs = np.unique(context << np.uint64(8) | rng.integers(97, 105, n).astype(np.uint64))
-    counts = rng.integers(1, 50, len(pairs))
-    table = lm_scoring.Seen([lm_scoring.unpack_pairs(lm_scoring.pack_pairs(pairs, counts))], decisions)
-    entry, _, node, outcome = decisions.expand(pairs.astype(np.uint8))
-    place = lm_scoring.marks(pairs >> np.uint64(8) << np.uint64(64 - lm_scoring.CONTEXT), entry, node)
-    each, at = np.unique(place, return_inverse=True)
-    sums = np.stack([np.bincount(at, weights=counts[entry] * (outcome == x), minlength=len(each)) for x in (0, 1)], axis=1)
-    assert np.mean(table.odds(each) != lm_scoring.stretch(sums)) < 0.01 if n else not table.cells.any()
-    other = np.setdiff1d(rng.integers(0, 1 << 32, 100_000, dtype=np.uint32), each)
-    assert np.mean(table.odds(other) != 0) < 0.01
-
-
 def test_lm_learns_every_context(spark):
     """Held-out copies of training texts are all but certain, however many contexts the corpus has and however it is dealt out."""
     rng = random.Random(8)
