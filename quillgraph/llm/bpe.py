@@ -46,6 +46,7 @@ class Vocabulary:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.largest = max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.lower = bool(self.suffix)
         self.pattern = re.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
@@ -264,13 +265,16 @@ def count_texts(vocab: Vocabulary, column: pa.Array) -> np.ndarray:
     """Number of ids of each text (nulls are empty) under a byte-level vocabulary that keeps white space.
 
     A run of ASCII white space gives its last space to the next word and is a pre-token without
-    it; other white space is left to the library, for that text as a whole.
+    it; texts with other white space, or with white space before a special string (at which the
+    library cuts first, so that such a run stays whole), are left to the library as a whole.
     """
     column = pc.fill_null(column, "")
     n = len(column)
     out = np.zeros(n, np.int64)
     # U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000: white space in several bytes
     odd = pc.match_substring_regex(column, "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").to_numpy(zero_copy_only=False)
+    for name in vocab.special:
+        odd = odd | pc.match_substring_regex(column, "[\\x09-\\x0d\\x20]" + re.escape(name)).to_numpy(zero_copy_only=False)
     for i in np.flatnonzero(odd).tolist():
         out[i] = len(vocab.library.encode(column[i].as_py(), add_special_tokens=False).ids)
     rows = np.flatnonzero(~odd)

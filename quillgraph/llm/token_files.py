@@ -1,6 +1,6 @@
 """Operator 3, token ids in Huffman-coded files.
 
-Texts are encoded once into a scratch table of 16-bit ids with the corpus counts of the ids.  From
+Texts are encoded once into a scratch table of 16-bit ids (a larger vocabulary is refused) with the corpus counts of the ids.  From
 the global counts comes one canonical code of at most 16 bits.  Documents are dealt out by ranges
 of their id, sorted, and written as blocks of about ``block_ids`` ids: rows of a Parquet dataset
 (the container takes care of commits, retries and remote stores) that hold a coded payload with
@@ -28,6 +28,8 @@ def encoded(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "do
         from . import bpe
 
         vocab = bpe.load(tokenizer)
+        if max(vocab.largest, end_id or 0) >= 1 << 16:
+            raise ValueError(f"{tokenizer} has ids of 65,536 and above; the file format takes 16-bit ids")
         for part in slices(batches):
             ids, offsets = bpe.encode_texts(vocab, part.column("text"))
             if end_id is not None:
@@ -65,7 +67,7 @@ def id_counts(ids: DataFrame, size: int = 1 << 16):
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 18) -> None:
     """Encode ``df`` and write the files at ``path`` in ascending order of the id.
 
-    A null text is an empty one (the end id alone); a null id sorts first; rows of equal id are
+    Ids are of 16 bits: a vocabulary with larger ones raises before anything is written.  A null text is an empty one (the end id alone); a null id sorts first; rows of equal id are
     ordered by their ids' bytes; an empty table gives files without blocks.  Parts are ranges of
     the document id with about equal token counts, so one much repeated document id is the only
     thing that can't be parted; a text longer than a block makes a block of its own.
@@ -115,7 +117,6 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
         if held:
             yield block()
 
-    scratch.bounded_batches(spark)
     ordered.select("part", "doc_id", "ids").mapInArrow(work, BLOCK).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.astype(np.uint8).tobytes()),)], "lengths binary").write.mode("overwrite").parquet(f"{path}/code")
     scratch.drop(ids)
@@ -163,7 +164,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, ends * 4].astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, mask=~known), pa.array(before[row["part"]] + row["first"] + ends - n), body], names=["doc_id", "start", "ids"])
 
-    scratch.bounded_batches(spark, 16)  # of some hundred kilobytes each
     return blocks.mapInArrow(work, "doc_id long, start long, ids binary")
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import helpers as h
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,6 +36,21 @@ def test_counts(spark, rows):
     assert token_counts.count_tokens(h.empty(spark), BYTE).count() == 0
 
 
+def test_counts_beside_special_strings():
+    """Special strings next to every kind of white space, words, and each other."""
+    vocab, rng = bpe.load(BYTE), random.Random(9)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "a", "foo", "B1", "'s", "<|", "|>", "é", "世", ".", "12"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.7 else parts[0] for _ in range(rng.randint(1, 9))) for _ in range(60_000)]
+    want = [len(e.ids) for e in vocab.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert bpe.count_texts(vocab, pa.array(texts)).tolist() == want
+
+
+def test_larger_ids_are_refused(spark):
+    """The file format takes 16-bit ids; an end id beyond them raises before anything is written."""
+    with pytest.raises(Exception, match="16-bit"):
+        token_files.write(h.table(spark, [(1, "a")]), scratch.new_path(spark, "test-tokens"), WORD, end_id=1 << 16)
+
+
 def test_whole_token_table_is_proven():
     vocab = bpe.load(BYTE)
     some = random.Random(1).sample(sorted(vocab.single), 500)
