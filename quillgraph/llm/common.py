@@ -51,6 +51,11 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of one or two numbers a row, to be broadcast if it has at most ``most`` rows; larger ones are joined by shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def tokenizer_path(name: str) -> str:
     """Default place of a public vocabulary file."""
     import public_tokenizers

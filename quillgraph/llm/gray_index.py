@@ -157,3 +157,62 @@ def forest(codes: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarr
         label = _relabel(label, a, b)
     moved = np.flatnonzero(label != np.arange(n))
     return order[moved], order[label[moved]]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels after the pairs, which pairs did it): of pairs in order of preference those that make a spanning forest."""
+    kept, at = [], np.arange(len(a))
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        odd = x != y
+        at, x, y = at[odd], x[odd], y[odd]
+        if not len(at):
+            return label, np.concatenate(kept) if kept else at
+        # each label takes its first pair with a smaller one, so no circle can arise
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(at[first])
+        target = np.arange(len(label))
+        target[high] = np.minimum(x, y)[first]
+        while not (target[target] == target).all():
+            target = target[target]
+        label = target[label]
+
+
+TIERS = (2, 4, 7, 10, 14, 18)
+
+
+def nearest_pairs(codes: np.ndarray, groups: np.ndarray, radius: int, known: np.ndarray | None = None, barred=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions, the nearest first, that span what differences of at most ``radius`` bits join inside each group: a forest.
+
+    ``known``: labels of members that are joined already; ``barred(a, b)``: which pairs of positions can't be used.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((gray_rank(codes), groups))
+    codes, groups = codes[order], groups[order]
+    dense = np.cumsum(np.r_[0, groups[1:] != groups[:-1]])
+    index, out = GrayIndex(codes, dense), []
+    # a member's label holds inside its group alone
+    label = np.arange(n) if known is None else np.unique(np.stack([dense, known[order]]), axis=1, return_inverse=True)[1].ravel()
+
+    def use(a, b):
+        nonlocal label
+        if barred is not None and len(a):
+            free = ~barred(order[a], order[b])
+            a, b = a[free], b[free]
+        near = np.argsort(np.bitwise_count(codes[a] ^ codes[b]), kind="stable")
+        label, used = _joined(label, a[near], b[near])
+        out.append((a[near][used], b[near][used]))
+
+    for turn in (0, 16, 32, 48):
+        turned = (codes << np.uint64(turn)) | (codes >> np.uint64((64 - turn) % 64)) if turn else codes
+        at = np.lexsort((gray_rank(turned), dense))
+        a, b = at[:-1], at[1:]
+        near = np.flatnonzero((dense[a] == dense[b]) & (np.bitwise_count(codes[a] ^ codes[b]) <= TIERS[1]))
+        use(a[near], b[near])
+    for r in (*(t for t in TIERS if t < radius), radius):
+        for i in range(0, n, 1 << 10):  # few at a time: what they join is left out for those that follow
+            use(*index.near(np.arange(i, min(n, i + (1 << 10))), r, index.uniform(label), label))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return order[a], order[b]
