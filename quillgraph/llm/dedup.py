@@ -5,8 +5,9 @@ windows share), so a text falls into runs of windows with one anchor.  Runs are
 of equal runs all but the earliest are repeats as a whole.  Where an anchor has several different
 runs, their bytes are gathered in blocks by anchor, a two-stage suffix array of each block shows
 the windows that are equal, and all but the earliest of each group are repeats.  Anchors that a
-sample finds in many different contexts are dealt out by single windows instead, so no task
-gathers them.  Hashes of a few MB of text are combined before they are sent.
+sample finds in many different contexts are dealt out by single windows instead, and so are those
+that turn out to have more than ``most_runs`` different runs, so no task gathers them and a block
+is of bounded size.  Hashes of a few MB of text are combined before they are sent.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import scratch
-from .common import table
+from .common import fresh, table
 
 GRAM = 20
 #: Bytes of one suffix-sorted block, and of text whose runs are combined before they are sent.
@@ -113,14 +114,13 @@ def unpack(blob: bytes, kinds: str) -> list:
 RUN, WINDOW, SPAN = "u8,u8,i8,i4,i4,i2", "u8,u8,i8,i4,i4", "i8,i4,i4,i4"
 
 
-def crowded_anchors(texts: DataFrame, size: int, sample_rows: int, least: int):
-    """Sorted hashes of the anchors with ``least`` or more different runs in a bounded sample of the texts.
+def crowded_anchors(texts: DataFrame, size: int, sample_rows: int, least: int, n: int):
+    """Sorted hashes of the anchors with ``least`` or more different runs in a bounded sample of the n texts.
 
     They only choose the route of their windows; every route finds the same repeats.
     """
     import numpy as np
 
-    n = texts.count()
     share = min(1.0, 1.5 * sample_rows / max(n, 1))
 
     def work(batches):
@@ -216,8 +216,8 @@ def deal(texts: DataFrame, size: int, tasks: int, crowded) -> DataFrame:
     return texts.select("pos", "tie", "text").mapInArrow(work, "bucket int, kind string, blob binary")
 
 
-def settle(dealt: DataFrame, size: int, tasks: int) -> DataFrame:
-    """(kind, pos, tie, body): spans ('s') by text, and the runs ('q') whose anchor has other runs too."""
+def settle(dealt: DataFrame, size: int, tasks: int, most_runs: int) -> DataFrame:
+    """(kind, pos, tie, body): spans ('s') by text, and the runs whose anchor has other runs too ('q'; 'c' if more than ``most_runs``)."""
 
     def work(batches):
         import numpy as np
@@ -240,8 +240,12 @@ def settle(dealt: DataFrame, size: int, tasks: int) -> DataFrame:
                 same = own[1:] == own[:-1]
                 several[1:] |= same
                 several[:-1] |= same
-            k = keep[several]
-            k = k[np.lexsort((start[k], tie[k], pos[k]))]
+            new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            sizes = np.diff(np.r_[new, len(own)])
+            crowded = np.repeat(sizes > most_runs, sizes)
+            k, crowded = keep[several], crowded[several]
+            by = np.lexsort((start[k], tie[k], pos[k], crowded))
+            k, crowded = k[by], crowded[by]
             asked = (anchor[k], pos[k], tie[k], start[k], count[k].astype("i4"))
         if blobs["w"]:
             one, two, pos, tie, start = (np.concatenate(x) for x in zip(*(unpack(b, WINDOW) for b in blobs.pop("w")), strict=True))
@@ -254,17 +258,17 @@ def settle(dealt: DataFrame, size: int, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(["s"] * len(found[0]), pa.string()), *found], names=names)
         if asked is not None and len(asked[0]):
             anchor, pos, tie, start, count = asked
-            new = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (tie[1:] != tie[:-1])])
+            new = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (tie[1:] != tie[:-1]) | (crowded[1:] != crowded[:-1])])
             cuts = np.r_[new, len(pos)].tolist()
             bodies = [pack(anchor[a:b], start[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(["q"] * len(bodies), pa.string()), pa.array(pos[new], pa.int64()), pa.array(tie[new], pa.int32()), pa.array(bodies, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(crowded[new], "c", "q").tolist(), pa.string()), pa.array(pos[new], pa.int64()), pa.array(tie[new], pa.int32()), pa.array(bodies, pa.binary())], names=names)
 
     return dealt.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(work, "kind string, pos long, tie int, body binary")
 
 
 def snippets(texts: DataFrame, asked: DataFrame, size: int, tasks: int) -> DataFrame:
-    """(bucket, blob) of the bytes of the runs asked for, by anchor."""
-    wanted = asked.groupBy("pos", "tie").agg(F.collect_list("body").alias("bodies"))
+    """(bucket, kind, blob): the bytes of the runs asked for, by anchor ('q'), and the windows of crowded anchors, by their hashes ('w')."""
+    wanted = asked.groupBy("pos", "tie").agg(F.collect_list(F.when(F.col("kind") == "q", F.col("body"))).alias("bodies"), F.collect_list(F.when(F.col("kind") == "c", F.col("body"))).alias("crowded"))
 
     def work(batches):
         import numpy as np
@@ -272,28 +276,43 @@ def snippets(texts: DataFrame, asked: DataFrame, size: int, tasks: int) -> DataF
 
         from .bpe import spread
         from .common import slices
-        from .text import utf8
+        from .text import SpanHash, utf8
 
         for part in slices(batches, limit=4 << 20):
             data, offsets = utf8(part.column("text"))
-            pieces = []
-            for i, bodies in enumerate(part.column("bodies").to_pylist()):
-                for body in bodies:
-                    anchor, start, count = unpack(body, "u8,i4,i4")
-                    pieces.append((anchor, np.full(len(anchor), i), start, count))
-            anchor, row, start, count = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            pos, tie = part.column("pos").to_numpy()[row], part.column("tie").to_numpy()[row]
-            bucket = (anchor >> np.uint64(20)) % np.uint64(tasks)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(tasks + 1))
             rows = []
-            for b in np.unique(bucket).tolist():
-                k = order[cuts[b] : cuts[b + 1]]
+
+            def asked_of(column, part=part):
+                """(anchor, row, start, count) of the runs that a column asks for."""
+                pieces = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
+                for i, bodies in enumerate(part.column(column).to_pylist()):
+                    for body in bodies:
+                        anchor, start, count = unpack(body, "u8,i4,i4")
+                        pieces.append((anchor, np.full(len(anchor), i), start, count))
+                return (np.concatenate(x) for x in zip(*pieces, strict=True))
+
+            def buckets(keys):
+                """(bucket, positions) of the keys, bucket by bucket."""
+                bucket = (keys >> np.uint64(20)) % np.uint64(tasks)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(tasks + 1))
+                return ((b, order[cuts[b] : cuts[b + 1]]) for b in np.unique(bucket).tolist())
+
+            every_pos, every_tie = part.column("pos").to_numpy(), part.column("tie").to_numpy()
+            anchor, row, start, count = asked_of("bodies")
+            for b, k in buckets(anchor):
                 body = data[spread(offsets[row[k]] + start[k], (count[k] + size - 1).astype(np.int64))]
-                rows.append((b, pack(anchor[k], pos[k], tie[k], start[k], count[k]) + body.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+                rows.append((b, "q", pack(anchor[k], every_pos[row[k]], every_tie[row[k]], start[k].astype("i4"), count[k].astype("i4")) + body.tobytes()))
+            anchor, row, start, count = asked_of("crowded")
+            if len(anchor):
+                at, own = spread(start.astype(np.int64), count.astype(np.int64)), np.repeat(row, count)
+                hashed, place = SpanHash(data), offsets[own] + at
+                one, two = hashed(place, place + size), hashed(place, place + size // 2)
+                for b, k in buckets(one):
+                    rows.append((b, "w", pack(one[k], two[k], every_pos[own[k]], every_tie[own[k]].astype("i4"), at[k].astype("i4"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
-    return texts.select("pos", "tie", "text").join(wanted, ["pos", "tie"]).select("pos", "tie", "text", "bodies").mapInArrow(work, "bucket int, blob binary")
+    return texts.select("pos", "tie", "text").join(wanted, ["pos", "tie"]).select("pos", "tie", "text", "bodies", "crowded").mapInArrow(work, "bucket int, kind string, blob binary")
 
 
 def block_spans(anchor, pos, tie, start, data, offsets, size: int):
@@ -312,7 +331,7 @@ def block_spans(anchor, pos, tie, start, data, offsets, size: int):
 
 
 def compare(gathered: DataFrame, size: int, tasks: int) -> DataFrame:
-    """('s', pos, tie, body) of the repeated windows inside each bucket, in blocks of whole anchors."""
+    """('s', pos, tie, body) of the repeated windows inside each bucket, in blocks of whole anchors, and of crowded anchors by hash."""
 
     def work(batches):
         import numpy as np
@@ -320,12 +339,22 @@ def compare(gathered: DataFrame, size: int, tasks: int) -> DataFrame:
 
         from .bpe import spread
 
-        heads, bodies = [], []
+        heads, bodies, windows = [], [], []
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if kind == "w":
+                    windows.append(unpack(blob, WINDOW))
+                    continue
                 head = unpack(blob, "u8,i8,i4,i4,i4")
                 heads.append(head)
                 bodies.append(np.frombuffer(blob, np.uint8, offset=8 + 28 * len(head[0])))
+        if windows:
+            one, two, pos, tie, start = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order, first = first_of([one, two], pos, tie, start)
+            again = order[~first]
+            found = merged(pos[again], tie[again], start[again], start[again] + np.int32(size))
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(["s"] * len(found[0]), pa.string()), *found], names=["kind", "pos", "tie", "body"])
         if not heads:
             return
         anchor, pos, tie, start, count = (np.concatenate(x) for x in zip(*heads, strict=True))
@@ -347,18 +376,19 @@ def compare(gathered: DataFrame, size: int, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(["s"] * len(found[0]), pa.string()), *found], names=["kind", "pos", "tie", "body"])
             a = b
 
-    return gathered.repartitionById(tasks, F.col("bucket")).select("blob").mapInArrow(work, "kind string, pos long, tie int, body binary")
+    return gathered.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(work, "kind string, pos long, tie int, body binary")
 
 
-def repeated_spans(texts: DataFrame, size: int = 100, sample_rows: int = 4000, crowd: int = 24) -> DataFrame:
+def repeated_spans(texts: DataFrame, size: int = 100, sample_rows: int = 4000, crowd: int = 24, most_runs: int = 20_000) -> DataFrame:
     """(pos, tie, spans): for each text with repeats the blobs of its spans; texts as from ``positioned``."""
     spark = texts.sparkSession
     scratch.ship(spark)
-    scratch.bounded_batches(spark)
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crowded = crowded_anchors(texts, size, sample_rows, crowd)
-    settled = scratch.materialise(settle(deal(texts, size, tasks, crowded), size, tasks), "settled")
-    compared = scratch.materialise(compare(snippets(texts, settled.where("kind = 'q'"), size, tasks), size, tasks), "compared")
+    n, total = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    # a bucket is of some 32 MB of text at most, as its hashes are held together
+    tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (32 << 20)))
+    crowded = crowded_anchors(texts, size, sample_rows, crowd, n)
+    settled = scratch.materialise(settle(deal(texts, size, tasks, crowded), size, tasks, most_runs), "settled")
+    compared = scratch.materialise(compare(snippets(texts, settled.where("kind <> 's'").select("kind", "pos", "tie", "body"), size, tasks), size, tasks), "compared")
     spans = settled.where("kind = 's'").select("pos", "tie", "body").unionByName(compared.select("pos", "tie", "body"))
     return spans.groupBy("pos", "tie").agg(F.collect_list("body").alias("spans"))
 
@@ -415,11 +445,12 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """The rows of ``df``, all columns, with what ``remove_repeats`` keeps of each text as the text.
 
     A character of which only some bytes are kept goes too.  ``chars_col``, if there is such a
-    column, gets the new number of characters.  A null text stays null.
+    column, gets the new number of characters.  A null text stays null; columns of any names come through.
     """
-    own = df.withColumns({"_pos": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_tie": F.expr(f"cast(xxhash64(coalesce(cast({text_col} AS string), '')) & 2147483647 AS int)")})
-    spans = repeated_spans(positioned(df, id_col, text_col), size).select(F.col("pos").alias("_pos"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
-    joined = own.join(spans, ["_pos", "_tie"], "left").select(*df.columns, "_spans")
+    pos, tie, found = fresh(df, "pos", "tie", "spans")
+    own = df.withColumns({pos: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), tie: (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1))).cast("int")})
+    spans = repeated_spans(positioned(df, id_col, text_col), size).select(F.col("pos").alias(pos), F.col("tie").alias(tie), F.col("spans").alias(found))
+    joined = own.join(spans, [pos, tie], "left").select(*df.columns, found)
 
     def work(batches):
         import pyarrow as pa
@@ -430,11 +461,11 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         for part in slices(batches, text_col):
             data, offsets = utf8(part.column(text_col))
             texts = part.column(text_col).to_pylist()
-            for i, spans in enumerate(part.column("_spans").to_pylist()):
+            for i, spans in enumerate(part.column(found).to_pylist()):
                 if spans:
                     text = data[offsets[i] : offsets[i + 1]]
                     texts[i] = text[~removed_mask(spans, len(text))].tobytes().decode("utf-8", "ignore")
-            part = part.drop_columns(["_spans"])
+            part = part.drop_columns([found])
             yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(texts, part.schema.field(text_col).type))
 
     out = joined.mapInArrow(work, df.schema)
