@@ -22,6 +22,8 @@ WORD_PATTERN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-ö
 BYTE_PATTERN = r"\n|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+"
 SIMPLE = r"^[!-~À-ÖØ-öø-ÿ]{1,48}$"
 LONGEST = 48
+#: Bytes of words and their ids that a worker remembers.
+REMEMBERED = 12 << 20
 _NONE = np.int64(1 << 62)
 
 
@@ -59,6 +61,7 @@ class Vocabulary:
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
         self._index(left << 20 | right)
         self.single = self._prove()
+        self.seen = _none_seen()
 
     def _index(self, keys: np.ndarray) -> None:
         self.bits = 19
@@ -178,6 +181,28 @@ class Vocabulary:
         return ids, offsets
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of distinct words; words of the last few MB are remembered, the others are encoded."""
+        n = len(words)
+        seen, seen_ids, seen_at = self.seen
+        at = pc.index_in(words, value_set=seen)
+        hit = at.is_valid().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(~hit))
+        ids, offsets = self.encode(new)
+        known = at.drop_null().to_numpy().astype(np.int64)
+        sizes = np.zeros(n, np.int64)
+        sizes[hit], sizes[~hit] = seen_at[known + 1] - seen_at[known], np.diff(offsets)
+        result = np.zeros(n + 1, np.int64)
+        np.cumsum(sizes, out=result[1:])
+        flat = np.empty(result[-1], np.int64)
+        flat[spread(result[:-1][hit], sizes[hit])] = seen_ids[spread(seen_at[known], sizes[hit])]
+        flat[spread(result[:-1][~hit], sizes[~hit])] = ids
+        if seen.nbytes + seen_ids.nbytes > REMEMBERED:
+            self.seen = _none_seen()
+            seen, seen_ids, seen_at = self.seen
+        self.seen = pa.concat_arrays([seen, new.cast(pa.string())]), np.concatenate([seen_ids, ids.astype(np.int32)]), np.concatenate([seen_at, seen_at[-1] + offsets[1:]])
+        return flat, result
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of distinct words; in a byte vocabulary a word may start with one space."""
         n = len(words)
         if self.lower:
@@ -222,6 +247,11 @@ class Vocabulary:
         return flat, result
 
 
+def _none_seen() -> tuple:
+    """No words: their strings, ids and offsets."""
+    return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, .. for each start and size, one after the other."""
     total = int(sizes.sum())
