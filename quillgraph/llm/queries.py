@@ -1,9 +1,7 @@
-"""Registered queries of this subpackage."""
+"""Registered queries of this subpackage; the pipeline over them is registered with it by the driver contract."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontaminate import op6_decontaminate
 from .dedup import op2_suffix_dedup
 from .lm_scoring import op4_lm_scoring
@@ -17,9 +15,8 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_token_files, op4_lm_scoring, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_token_files, op4_lm_scoring, op5_token_counts, op6_decontaminate, op7_packing, op8_warc, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op8_warc": OP8_SQL, "op9_quality": OP9_SQL}
