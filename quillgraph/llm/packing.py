@@ -10,6 +10,7 @@ piece then finds its sequence from its length and its rank among the pieces of t
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> list[Run]:
 
     For a piece j with r = capacity - j left, and w the longest other piece of at most r: j alone
     dominates if nothing fits; {j, w} dominates if w = r, if no two others fit together, or if no
-    three do and no two are longer together than w.
+    three do and no two are longer together than w; {j, w, b}, b the longest that fits beside both,
+    dominates if no three others fit together and no two that are longer than b and shorter than w.
     """
     runs: list[Run] = []
     sizes = sorted(x for x in count if count[x] > 0)
@@ -71,6 +73,22 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> list[Run]:
                     high -= 1
         return best
 
+    def beside(j: int, w: int, most: int) -> int:
+        """The longest piece of at most ``most`` beside one j and one w, else 0."""
+        at = bisect_left(sizes, most + 1) - 1
+        while at >= 0 and count[sizes[at]] - (sizes[at] == j) - (sizes[at] == w) < 1:
+            at -= 1
+        return sizes[at] if at >= 0 else 0
+
+    def between(j: int, low: int, high: int) -> list[int]:
+        """The two shortest pieces beside one j that are longer than ``low`` and shorter than ``high``."""
+        out: list[int] = []
+        for x in sizes[bisect_left(sizes, low + 1) : bisect_left(sizes, high)]:
+            out += [x] * min(2, count[x] - (x == j))
+            if len(out) >= 2:
+                break
+        return out[:2]
+
     changed = True
     while changed:
         changed = False
@@ -87,6 +105,15 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> list[Run]:
                 fixed = w == left or len(short) < 2 or short[0] + short[1] > left
                 if not fixed and (len(short) < 3 or sum(short) > left):
                     fixed = w >= best_pair(j, left)
+                    b = 0 if fixed else beside(j, w, left - w)
+                    if b and (len(some := between(j, b, w)) < 2 or sum(some) > left):
+                        need = Counter((j, w, b))
+                        n = min(count[x] // k for x, k in need.items())
+                        runs.append((tuple(need.items()), n))
+                        for x, k in need.items():
+                            take(x, k * n)
+                        changed = True
+                        continue
                 if not fixed:
                     break
                 n = count[j] // 2 if w == j else min(count[j], count[w])
@@ -215,7 +242,8 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, i
     places = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast(places)
     before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # merged, not broadcast: there is a row for each task and length, which grow with the input
+    ranked = cut.join(before.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def work(batches):
         import pyarrow as pa

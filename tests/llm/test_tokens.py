@@ -142,9 +142,13 @@ def fewest(sizes, capacity):
 
 def test_reduction_keeps_the_optimum():
     rng = random.Random(2)
-    for _ in range(150):
-        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+    threes = 0
+    for _ in range(600):
+        sizes = sorted((rng.randint(rng.choice([1, 4]), 20) for _ in range(rng.randint(1, 9))), reverse=True)
         count = Counter(sizes)
         fixed = packing.reduce_dominated(count, 20)
+        threes += any(sum(k for _, k in content) == 3 for content, _ in fixed)
+        assert all(sum(x * k for x, k in content) <= 20 for content, _ in fixed)
         rest = [x for x, n in count.items() for _ in range(n)]
         assert sum(n for _, n in fixed) + fewest(sorted(rest, reverse=True), 20) == fewest(sizes, 20)
+    assert threes > 20
