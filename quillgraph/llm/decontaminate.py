@@ -1,6 +1,7 @@
 """Operator 6, benchmark decontamination by SimHash of item-sized windows.
 
-For an item of L words, the windows of L words of a document are compared with it.  A window can
+For an item of L words, the windows of L words of a document are compared with it, and a document of
+fewer words as a whole.  A window can
 reach the wanted similarity only if enough of its shingles occur in items of that length, so
 others are passed over.  The rest get a SimHash fingerprint, four blocks of 16 bits are looked up
 with every change of up to four bits, which finds every item within 19 bits (were all four blocks
@@ -25,7 +26,7 @@ def normal_words(data, offsets):
     """(word hashes, row of each): A-Z lower-cased, ASCII punctuation taken out, words parted by ASCII white space."""
     import numpy as np
 
-    from .text import IS_SPACE, LOWER, SpanHash, rows_of, words_at
+    from .text import IS_SPACE, LOWER, rows_of, word_hash, words_at
 
     keep = IS_SPACE.copy()
     keep[48:58] = keep[65:91] = keep[97:123] = keep[128:] = True
@@ -34,7 +35,7 @@ def normal_words(data, offsets):
     np.cumsum(solid, out=place[1:])
     data, offsets = LOWER[data[solid]], place[offsets]
     starts, ends = words_at(data, offsets)
-    return SpanHash(data)(starts, ends), rows_of(starts, offsets)
+    return word_hash(data, starts, ends), rows_of(starts, offsets)
 
 
 def simhash(bits):
@@ -46,6 +47,36 @@ def simhash(bits):
     return np.packbits(ones * 2 > k, axis=1).view(np.uint64).reshape(-1)
 
 
+def window_prints(grams, starts, n: int):
+    """(first, end, fingerprints) of stretches of the ascending window starts; memory is some MB, however long a window of n shingles is.
+
+    Short windows are summed one by one; of long ones neighbours share the running sums of their bits.
+    """
+    import numpy as np
+
+    if n <= 128:
+        step = (1 << 18) // n
+        for i in range(0, len(starts), step):
+            yield i, min(i + step, len(starts)), simhash(grams[starts[i : i + step, None] + np.arange(n)[None, :]])
+        return
+    i = 0
+    while i < len(starts):
+        apart = np.flatnonzero(np.diff(starts[i : i + 4096]) > n)
+        j = i + min(int(apart[0]) + 1 if len(apart) else 4096, int(np.searchsorted(starts[i : i + 4096], starts[i] + 8192, "right")))
+        j = min(j, len(starts))
+        ones = np.zeros((int(starts[j - 1] - starts[i]) + 1, 64), np.int32)
+        first, total = int(starts[i]), np.zeros(64, np.int32)
+        for a in range(0, n, 8192):  # the sum of the first window, then what enters less what leaves
+            total += np.unpackbits(grams[first + a : first + min(a + 8192, n)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        ones[0] = total
+        m = len(ones) - 1
+        enter, leave = (np.unpackbits(grams[x : x + m].view(np.uint8).reshape(-1, 8), axis=1) for x in (first + n, first))
+        ones[1:] = enter.astype(np.int32) - leave
+        np.cumsum(ones, axis=0, out=ones)
+        yield i, j, np.packbits(ones[starts[i:j] - first] * 2 > n, axis=1).view(np.uint64).reshape(-1)
+        i = j
+
+
 class Items:
     """The items of one block: fingerprints by length, their blocks of bits, and shingle multisets."""
 
@@ -114,10 +145,20 @@ class Items:
         """{(row, item): (similarity, first word)} of the best window of each row and item that has one."""
         import numpy as np
 
+        from .bpe import spread
         from .text import shingle_hash
 
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        begin = np.searchsorted(row, np.arange(row[-1] + 1)) if len(row) else None
+        begin = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else None
+
+        def check(group, codes, windows, first):
+            """Keep the best similarity of some windows, given their fingerprints, shingles and first words."""
+            for w, item in zip(*(x.tolist() for x in self.near(group, codes)), strict=True):
+                similarity = self.similarity(windows(w), group["sets"][item])
+                if similarity >= self.least:
+                    r = int(row[first[w]])
+                    value, key = (similarity, -int(first[w] - begin[r])), (r, group["ids"][item])
+                    best[key] = max(best.get(key, value), value)
         for span, (every, seen) in self.spans.items():
             if len(words) < span:
                 continue
@@ -133,29 +174,36 @@ class Items:
                     continue
                 n = size - span + 1
                 own = hits[np.isin(grams[hits], group["grams"])]
+                self.whole_texts(own, grams, row, begin, span, size, n, group, check)
                 if len(own) < group["need"]:
                     continue
-                # a window with enough hits holds some hit and, need - 1 hits on, another
-                first = own[: len(own) - group["need"] + 1]
-                last = own[group["need"] - 1 :]
-                close = last - first < n
-                starts = np.unique((first[close, None] - np.arange(n)[None, :]).reshape(-1))
-                starts = starts[(starts >= 0) & (starts + size <= len(words))]
+                # a window with enough hits holds some hit and, need - 1 hits on, another: it starts between the two ends of that
+                high = own[: len(own) - group["need"] + 1]
+                low = own[group["need"] - 1 :] - n + 1
+                some = low <= high
+                low, high = low[some], high[some]
+                low = np.maximum(low, np.r_[0, high[:-1] + 1])
+                starts = spread(low, np.maximum(high - low + 1, 0))
+                starts = starts[starts + size <= len(words)]
                 starts = starts[row[starts] == row[starts + size - 1]]
-                enough = np.searchsorted(own, starts + n) - np.searchsorted(own, starts) >= group["need"]
-                starts = starts[enough]
-                for i in range(0, len(starts), 2048):
-                    s = starts[i : i + 2048]
-                    table_ = grams[s[:, None] + np.arange(n)[None, :]]
-                    for w, item in zip(*(x.tolist() for x in self.near(group, simhash(table_))), strict=True):
-                        similarity = self.similarity(table_[w], group["sets"][item])
-                        if similarity >= self.least:
-                            r = int(row[s[w]])
-                            value = (similarity, -int(s[w] - begin[r]))
-                            key = (r, group["ids"][item])
-                            best[key] = max(best.get(key, value), value)
+                for i, j, codes in window_prints(grams, starts, n):
+                    s = starts[i:j]
+                    check(group, codes, lambda w, s=s, n=n: grams[s[w] : s[w] + n], s)
         return {k: (v[0], -v[1]) for k, v in best.items()}
 
+    def whole_texts(self, own, grams, row, begin, span: int, size: int, n: int, group: dict, check) -> None:
+        """Texts of fewer words than an item, but enough shingles, are one window each."""
+        import numpy as np
+
+        rows, found = np.unique(row[own], return_counts=True)
+        words = begin[rows + 1] - begin[rows]
+        m = words - span + 1
+        # n and m shingles: similarity s needs (n + m) s / (1 + s) in common
+        enough = (words < size) & (m >= self.least * n - 1e-9) & (found >= (n + m) * self.least / (1 + self.least) - 1e-9)
+        for r, k in zip(rows[enough].tolist(), m[enough].tolist(), strict=True):
+            window = grams[begin[r] : begin[r] + k]
+            check(group, simhash(window[None, :]), lambda w, window=window: window, np.array([begin[r]]))
+
     @staticmethod
     def similarity(window, item) -> float:
         """Sum of smaller over sum of larger shingle counts."""
@@ -212,7 +260,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
     spark = documents.sparkSession
     kept = documents
     scratch.ship(spark)
-    scratch.bounded_batches(spark)
     for ids, texts in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast((ids, texts))
 
