@@ -151,10 +151,13 @@ def forest(codes: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarr
         link = (dense[a] == dense[b]) & (np.bitwise_count(sorted_codes[a] ^ sorted_codes[b]) <= radius)
         label = _relabel(label, a[link], b[link])
     index = GrayIndex(sorted_codes, dense)
-    step = 1 << 14
-    for i in range(0, n, step):
-        a, b = index.near(np.arange(i, min(n, i + step)), radius, index.uniform(label), label)
-        label = _relabel(label, a, b)
+    within = np.arange(n) - np.searchsorted(dense, dense)
+    # the first of each group, which may be near all others, before the rest of it
+    for low, high in ((0, 8), (8, 64), (64, n)):
+        q = np.flatnonzero((within >= low) & (within < high))
+        for i in range(0, len(q), 1 << 13):
+            a, b = index.near(q[i : i + (1 << 13)], radius, index.uniform(label), label)
+            label = _relabel(label, a, b)
     moved = np.flatnonzero(label != np.arange(n))
     return order[moved], order[label[moved]]
 
@@ -211,8 +214,12 @@ def nearest_pairs(codes: np.ndarray, groups: np.ndarray, radius: int, known: np.
         a, b = at[:-1], at[1:]
         near = np.flatnonzero((dense[a] == dense[b]) & (np.bitwise_count(codes[a] ^ codes[b]) <= TIERS[1]))
         use(a[near], b[near])
+    within = np.arange(n) - np.searchsorted(dense, dense)
     for r in (*(t for t in TIERS if t < radius), radius):
-        for i in range(0, n, 1 << 10):  # few at a time: what they join is left out for those that follow
-            use(*index.near(np.arange(i, min(n, i + (1 << 10))), r, index.uniform(label), label))
+        # few members of a group at a time: what they join is left out for those that follow, so a large group of copies gives few pairs
+        for low, high in ((0, 8), (8, 64), (64, n)):
+            q = np.flatnonzero((within >= low) & (within < high))
+            for i in range(0, len(q), 1 << 10):
+                use(*index.near(q[i : i + (1 << 10)], r, index.uniform(label), label))
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
     return order[a], order[b]

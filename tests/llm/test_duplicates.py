@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from quillgraph.llm import decontaminate, dedup, simhash
-from quillgraph.llm.gray_index import GrayIndex, forest, gray_rank
+from quillgraph.llm.gray_index import GrayIndex, forest, gray_rank, nearest_pairs
 from quillgraph.llm.suffix_array import Block
 
 
@@ -48,6 +48,27 @@ def test_index_links_what_brute_force_links(flips):
     assert {(x, y) for x, y in zip(q.tolist(), m.tolist(), strict=True)} == {(x, y) for x, y in zip(*(z.tolist() for z in np.nonzero(every)), strict=True) if x < y}
 
 
+@pytest.mark.parametrize("barred", [None, lambda a, b: (a + b) % 3 == 0])
+def test_nearest_pairs_span_what_is_near(barred):
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 400)]
+    for _ in range(7):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    groups, known = rng.integers(0, 4, 400), np.arange(400)
+    known[1:40:2] = known[0:40:2]  # members joined before
+    close = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 16) & (groups[:, None] == groups[None, :])
+    if barred is not None:
+        close &= ~barred(np.arange(400)[:, None], np.arange(400)[None, :])
+    every = list(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+    a, b = nearest_pairs(codes, groups, 16, None, barred)
+    found = list(zip(a.tolist(), b.tolist(), strict=True))
+    assert set(found) <= set(every) and roots(400, found) == roots(400, every) and len(found) == 400 - len(set(roots(400, every)))
+    before = [(i, i + 1) for i in range(0, 40, 2) if groups[i] == groups[i + 1]]
+    a, b = nearest_pairs(codes, groups, 16, known, barred)
+    assert roots(400, [*before, *zip(a.tolist(), b.tolist(), strict=True)]) == roots(400, [*before, *every])
+    assert len(nearest_pairs(codes[:0], groups[:0], 16)[0]) == 0
+
+
 def fingerprint(text):
     w = h.words(text)
     if not w:
