@@ -137,13 +137,13 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         yield fields, block
 
 
-def convert_rows(batches, version: int):
-    """Arrow work: pages as an archive of that version, through the converter, to WARC text."""
+def convert_rows(batches, versions: tuple[int, ...]):
+    """Arrow work: pages as archives, the versions in turn by id, through the converter, to WARC text."""
     import pyarrow as pa
 
-    name = f"pages-v{version}.arc"
-    for batch in batches:
-        rows = batch.to_pylist()
+    for batch, version in ((b, v) for b in batches for v in versions):
+        name = f"pages-v{version}.arc"
+        rows = [r for r in batch.to_pylist() if versions[(r["page_id"] or 0) % len(versions)] == version]
         archive = io.BytesIO()
         archive.write(arc_header(name, version))
         for r in rows:
@@ -158,26 +158,40 @@ def convert_rows(batches, version: int):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, arc_version: int = 2, records_per_file: int = 4000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+#: Payload bytes up to which records share a file, and how many then do: a file holds 256 MB or one record.
+SHARED = ((64 << 10, 4000), (4 << 20, 64))
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 1000, arc_versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a record for each row: of equal payloads of ``least`` bytes or more the largest id's is the response.
 
     A null payload is an empty one, a null URL ``about:blank``.  Rows that repeat the largest id
     with the same payload are responses too; a null id is smaller than any other and is a
     response only where all ids of the payload are null.  An empty table gives files without
-    records.  Equal payloads are found by SHA-1: largest ids are combined before the shuffle.
+    records.  Equal payloads are found by SHA-1: largest ids are combined before the shuffle, and
+    payloads below ``least`` bytes take no part in it.  Pages pass through the archive versions in
+    turn by id.  A file holds 4000 records of at most 64 KB, 64 of at most 4 MB, or one.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    keyed = base.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
-    tops = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
-    rows = keyed.join(tops, "digest", "left").select("page_id", "url", "html", "top", F.expr("top is not null and not (page_id <=> top)").alias("revisit"))
+    sized = base.withColumn("size", F.octet_length("html"))
+    keyed = sized.where(F.col("size") >= least).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    tops = keyed.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
+    linked = keyed.join(tops, "digest", "left").select("page_id", "url", "html", "size", "top", F.expr("top is not null and not (page_id <=> top)").alias("revisit"))
+    alone = sized.where(F.col("size") < least).select("page_id", "url", "html", "size", F.lit(None).cast("long").alias("top"), F.lit(False).alias("revisit"))
 
     def work(batches):
-        yield from convert_rows(batches, arc_version)
+        yield from convert_rows(batches, arc_versions)
 
     scratch.ship(spark)
-    scratch.bounded_batches(spark, 200)
-    rows.mapInArrow(work, "value string").write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    most = sized.agg(F.max("size")).first()[0] or 0
+    low, mode = -1, "overwrite"
+    for high, records in (*SHARED, (None, 1)):
+        if low < 0 or most > low:
+            inside = F.col("size") > low if high is None else (F.col("size") > low) & (F.col("size") <= high)
+            rows = alone.where(inside).unionByName(linked.where(inside)).drop("size")
+            rows.mapInArrow(work, "value string").write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        low, mode = high, "append"
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -217,7 +231,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     scratch.ship(spark)
-    scratch.bounded_batches(spark, 1)  # a file at a time
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, WARC_SCHEMA)
 
 

@@ -45,6 +45,41 @@ def test_toxicity_holds_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def test_toxicity_weights_one_by_one(spark):
+    """The learned weights and scores against follow-the-regularised-leader over dictionaries, one coordinate at a time."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["vile", "plain", "day", "tree", "Rotten,", "naïve", "x1"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    alpha, beta, l1, l2, bits = 0.7, 1.0, 0.4, 0.5, 14
+    index, weight, bias = toxicity.fit(h.table(spark, rows), labels, bits=bits, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+
+    def grams(text):
+        from quillgraph.llm.text import utf8
+
+        return sorted(set(toxicity.features(*utf8(pa.array([text])), bits)[1].tolist()))
+
+    z, n, bias_z, bias_n = Counter(), Counter(), 0.0, 0.0
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for _, text, y in sorted((d * 0x9E3779B97F4A7C15 % (1 << 64), t, int("vile" in t)) for d, t in rows):
+            own = grams(text)
+            now = {i: w(i) for i in own}
+            b = -bias_z / ((beta + math.sqrt(bias_n)) / alpha)
+            g = 1 / (1 + math.exp(-(sum(now.values()) + b))) - y
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * now[i]
+                n[i] += g * g
+            bias_z += g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / alpha * b
+            bias_n += g * g
+    b = -bias_z / ((beta + math.sqrt(bias_n)) / alpha)
+    want = {i: w(i) for i in z if w(i)}
+    assert dict(zip(index.tolist(), weight.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(b)
+    assert 0 < len(want) < len(z)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(h.table(spark, rows), (index, weight, bias), bits=bits).collect()}
+    assert scores == pytest.approx({d: 1 / (1 + math.exp(-(sum(want.get(i, 0) for i in grams(t)) + b))) for d, t in rows})
+
+
 def test_toxicity_without_labels(spark):
     docs = h.table(spark, h.texts())
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -226,6 +261,21 @@ def test_lm_long_text_in_pieces():
     assert np.isfinite(whole).all() and abs(whole.sum() - cut.sum()) < 0.01 * abs(whole.sum())
 
 
+def test_lm_takes_a_text_longer_than_a_slice(spark):
+    """Five MB in one row, and copies of short rows in other units."""
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["tree", "river", "stone", "light", "house"]) + str(rng.randint(0, 99)) for _ in range(650_000))
+    rows = [(0, long), (2, "tree1 river2"), (2, "tree1 river2"), (3, "tree1 river2")]
+    assert not any(zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in lm_scoring.score(h.table(spark, rows), unit_bytes=1 << 20).collect()}
+    counts = Counter(w for _, t in rows for w in [*t.split(), "\0end"])
+    n, kinds = counts.total(), len(counts)
+    assert got[0, 650_001]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + kinds + 1)) for w in [*long.split(), "\0end"]))
+    # a word is one of 500, so its letters are known and its choice costs 2.7
+    assert 2.6 < -got[0, 650_001]["score"] / 650_001 < 2.8
+    assert got[2, 3]["score"] == got[3, 3]["score"]
+
+
 def test_lm_tells_long_words_apart(spark):
     """Words of 1,024 bytes and more whose polynomial hashes modulo 2**64 are equal have counts of their own."""
     word = "a"
@@ -312,9 +362,10 @@ def test_record_ids():
 def test_warc_files(spark, tmp_path):
     rows = [(1, "http://a b", "x" * 1200), (5, None, "x" * 1200), (5, "u", "x" * 1200), (None, "u", "x" * 1200), (7, "u", None), (8, "u", "é" * 600 + "\r\n\r\nWARC/1.1 "), (9, "u", "é" * 600 + "\r\n\r\nWARC/1.1 "), (10, "u", "short"), (11, "u", "short")]
     pages = spark.createDataFrame([(*r, "d", 1, True) for r in rows], "page_id long, url string, html string, digest string, top int, revisit boolean")
-    for version in (1, 2):
-        warc.write_warc(pages, f"file://{tmp_path}/w{version}", arc_version=version)
-        got = warc.read_warc(spark, f"file://{tmp_path}/w{version}").collect()
+    for versions in ((1,), (2,), (1, 2)):
+        path = f"file://{tmp_path}/w{''.join(map(str, versions))}"
+        warc.write_warc(pages, path, arc_versions=versions)
+        got = warc.read_warc(spark, path).collect()
         want = Counter()
         for p, _, t in rows:
             data = (t or "").encode()
