@@ -15,10 +15,6 @@ def distance(a, b) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def rbf(a, b, gamma: float) -> Column:
     return F.exp(-F.lit(gamma) * squared_distance(a, b))
 
@@ -42,10 +38,6 @@ def columns_long(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, F.posexplode(vector).alias("pos", "value"))
 
 
-def column_sums(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return long.groupBy(*keys, "pos").agg(F.sum(value).alias("value"))
-
-
 def back_to_arrays(long: DataFrame, key: str, name: str = "features") -> DataFrame:
     """(key, array in order of pos); a key holds as many rows as the vector is wide."""
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(name))
@@ -59,6 +51,25 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(edge)).withColumn(column, F.when(F.col(column).isNotNull(), scaled)).drop("_lo", "_hi")
 
 
+def z_scores(long: DataFrame) -> DataFrame:
+    """(.., pos, value) with each position's values less their mean over their population deviation; a constant position gives 0."""
+    at = long.groupBy("pos").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    # a row for each position of a vector
+    scaled = F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
+    return long.join(F.broadcast(at), "pos").withColumn("value", scaled).drop("_m", "_s")
+
+
+def principal_components(df: DataFrame, k: int) -> DataFrame:
+    """(node_id, components): the vectors of (node_id, features), less their mean, on the k axes of greatest variance."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select("node_id", array_to_vector("features").alias("_v"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows).transform(rows)
+    out = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred)
+    return out.select("node_id", vector_to_array("_p").alias("components"))
+
+
 def primes(n: int) -> list[int]:
     """The first n primes."""
     found, candidate = [], 2

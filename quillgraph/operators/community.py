@@ -13,7 +13,7 @@ MOST_NODES, MOST_ROWS = 3000, 3000
 def _dense(edges: DataFrame) -> tuple[list, np.ndarray]:
     n = edges.select(F.explode(F.array("u", "v")).alias("x")).agg(F.count_distinct("x")).first()[0]
     if n > MOST_NODES:
-        raise ValueError(f"{n} nodes; dense bisection takes {MOST_NODES} at most, use power_bisection")
+        raise ValueError(f"{n} nodes; dense bisection takes {MOST_NODES} at most, use mode='power'")
     pairs = edges.select("u", "v").collect()
     ids = sorted({x for p in pairs for x in p})
     at = {x: i for i, x in enumerate(ids)}
@@ -29,13 +29,16 @@ def _modularity(a: np.ndarray) -> np.ndarray:
     return a - np.outer(k, k) / m2 if m2 else a
 
 
-def modularity_clusters(edges: DataFrame, cap: float, mode: str = "reference") -> DataFrame:
+def modularity_clusters(edges: DataFrame, cap: float, mode: str = "eigenvalue_count") -> DataFrame:
     """(cluster, node_id) by recursive bisection; a part below ``cap`` is not split, nor is one whose halves would be.
 
-    'reference' splits the ids in order at the number of eigenvalues that are not positive (with a
-    tolerance, as zero is always an eigenvalue); 'leading_eigenvector' splits by the signs of the
-    leading eigenvector.  Nothing comes of a graph smaller than ``cap``.
+    'eigenvalue_count' splits the ids in order at the number of eigenvalues that are not positive
+    (with a tolerance, as zero is always an eigenvalue); 'leading_eigenvector' splits by the signs
+    of the leading eigenvector; both are dense and raise above ``MOST_NODES`` nodes.  'power' finds
+    that vector by distributed power iteration, at any size.  Nothing comes of a graph smaller than ``cap``.
     """
+    if mode == "power":
+        return _power_clusters(edges, cap)
     ids, a = _dense(edges)
     out: list[np.ndarray] = []
 
@@ -43,7 +46,7 @@ def modularity_clusters(edges: DataFrame, cap: float, mode: str = "reference") -
         if len(part) < cap:
             return
         values, vectors = np.linalg.eigh(_modularity(a[np.ix_(part, part)]))
-        plus = values > 1e-9 if mode == "reference" else vectors[:, -1] > 0
+        plus = values > 1e-9 if mode == "eigenvalue_count" else vectors[:, -1] > 0
         if plus.sum() < cap or (~plus).sum() < cap:
             out.append(part)
             return
@@ -57,6 +60,29 @@ def modularity_clusters(edges: DataFrame, cap: float, mode: str = "reference") -
     return edges.sparkSession.createDataFrame(rows, f"cluster int, node_id {kind}")
 
 
+def _power_clusters(edges: DataFrame, cap: float) -> DataFrame:
+    """(cluster, node_id): parts are split one after the other, each by sparse power iteration on its own edges."""
+    from ..plans import scratch
+    from .graph import end_points, induced
+
+    waiting, done = [scratch.materialise(end_points(edges), "part")], []
+    while waiting:
+        part = waiting.pop()
+        if part.count() < cap:
+            continue
+        halves = scratch.materialise(part.join(power_bisection(induced(edges, part)), "node_id", "left").fillna(0, ["cluster"]), "halves")
+        sizes = dict(halves.groupBy("cluster").count().collect())
+        if len(sizes) < 2 or min(sizes.values()) < cap:
+            done.append(part)
+            continue
+        waiting += [halves.where(F.col("cluster") == c).select("node_id") for c in (0, 1)]
+    out = None
+    for i, part in enumerate(done):
+        one = part.select(F.lit(i).alias("cluster"), "node_id")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else end_points(edges).limit(0).select(F.lit(0).alias("cluster"), "node_id")
+
+
 def power_bisection(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(cluster, node_id): signs of the leading modularity eigenvector by power iteration on sparse joins; any size."""
     from ..functions.rng import uniform
@@ -101,16 +127,22 @@ def relational_kernel(features: DataFrame, edges: DataFrame, s: float = 1.0) ->
     spread = v.std(axis=0)
     z = (v - v.mean(axis=0)) / np.where(spread > 0, spread, 1)
     gamma = median_gamma(z)
-    d2 = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)
+    d2 = square_distances(v)
     inverse = 1 / np.maximum(a.sum(axis=1), 1)
     return ids, inverse[:, None] * (a @ np.exp(-gamma * s * d2) @ a) * inverse[None, :]
 
 
+def square_distances(v: np.ndarray) -> np.ndarray:
+    """Between all rows, by the identity of the inner product, so nothing is wider than the result."""
+    size = (v * v).sum(axis=1)
+    return np.maximum(size[:, None] + size[None, :] - 2 * (v @ v.T), 0)
+
+
 def median_gamma(z: np.ndarray) -> float:
     """Median of the nonzero squared distances between rows."""
-    d2 = ((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
-    low = d2[np.tril_indices(len(z))]
-    low = low[low > 0]
+    d2 = square_distances(z)
+    low = d2[np.tril_indices(len(z), -1)]
+    low = low[low > 1e-9]
     return float(np.median(low)) if len(low) else 0.0
 
 

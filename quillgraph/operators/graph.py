@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans import scratch
 from .components import connected_components
 
 
@@ -75,6 +76,30 @@ def class_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("label").where("label is not null").distinct().withColumn("class_idx", F.row_number().over(Window.orderBy("label")) - 1)
 
 
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """``df`` with a number from 0 in order of ``key``: ranks within ranges of the key plus the sizes of the ranges before."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.materialise(df.repartitionByRange(tasks, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    # a row for each range
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
+    return ranked.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_r") - 1).alias(name))
+
+
+def indexed(g: RelGraph) -> tuple[DataFrame, DataFrame]:
+    """(idx, node_id, class_idx) in order of the id, and edges (u, v) of such numbers."""
+    nodes = dense_index(g.nodes, "node_id").join(F.broadcast(g.classes()), "label", "left").select("idx", "node_id", "class_idx")
+    u, v = (nodes.select(F.col("node_id").alias(c), F.col("idx").alias(f"_{c}")) for c in "uv")
+    return nodes, g.edges.join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+
+
+def relabelled(nodes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Nodes with labels replaced by a small dictionary; labels that it lacks stay."""
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return nodes.withColumn("label", F.coalesce(F.get(F.map_values(F.map_filter(pairs, lambda k, _: k == F.col("label"))), F.lit(0)), F.col("label")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node_id, degree); a self-loop counts two."""
     return edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree"))

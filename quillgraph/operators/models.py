@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.rng import sort_key
-from ..functions.vectors import argmax
 from ..plans import scratch
-from .graph import RelGraph, adjacency, class_index, drop_isolates
-from .propagate import propagate
+from .graph import RelGraph
+from .networks import sampled_means, simple_convolution
 from .relational import class_counts, disagreement, neighbour_vectors, overlay, top_clusters
-from .sampling import random_nodes, ranked, seed_nodes
+from .sampling import random_nodes, seed_nodes
 from .structure import sampled_neighbours
 
 
@@ -141,12 +138,6 @@ def _in_order(g: RelGraph, rc, current: DataFrame, target: DataFrame, names: lis
     return g.nodes.sparkSession.createDataFrame(rows, f"node_id {kind_}, pred string").join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 
-def simple_convolution(g: RelGraph, train: DataFrame, test: DataFrame, hops: int = 2) -> DataFrame:
-    """Features averaged over ``hops`` rounds of the symmetric normalisation, then weighted multinomial regression."""
-    moved = RelGraph(g.nodes, g.edges, scratch.materialise(propagate(g.features, g.edges, "sym", hops), "convolved"))
-    return content_only(moved, train, test)
-
-
 def mean_layers(g: RelGraph, samples: tuple[int, ...] = (10, 5), seed: int = 0) -> DataFrame:
     """(node_id, x): the features, and their means over sampled neighbours, once for each layer."""
     out = current = g.features.select("node_id", F.col("features").alias("x"))
@@ -159,21 +150,6 @@ def mean_layers(g: RelGraph, samples: tuple[int, ...] = (10, 5), seed: int = 0)
     return out
 
 
-def sampled_means(g: RelGraph, train: DataFrame, test: DataFrame, samples: tuple[int, ...] = (10, 5), hidden: int = 32, epochs: int = 50, seed: int = 0) -> DataFrame:
-    """A perceptron of two hidden layers over the features and their sampled neighbourhood means.
-
-    The layers' aggregation is fixed, not learned end to end; isolates are left out.
-    """
-    inner = RelGraph(drop_isolates(g.nodes, g.edges), g.edges, g.features.join(drop_isolates(g.nodes, g.edges).select("node_id"), "node_id", "left_semi"))
-    classes = inner.classes()
-    x = scratch.materialise(mean_layers(inner, samples, seed), "layers")
-    width = x.select(F.max(F.size("x"))).first()[0] or 1
-    rows = inner.nodes.join(train.select("node_id"), "node_id", "left_semi").join(x, "node_id").join(F.broadcast(classes), "label").select("node_id", F.col("class_idx").cast("double").alias("y"), array_to_vector("x").alias("v"))
-    model = MultilayerPerceptronClassifier(layers=[width, hidden, hidden, classes.count()], featuresCol="v", labelCol="y", predictionCol="p", maxIter=epochs, seed=seed).fit(rows)
-    out = model.transform(x.join(test.select("node_id"), "node_id", "left_semi").select("node_id", array_to_vector("x").alias("v")))
-    return out.select("node_id", F.col("p").cast("int").alias("class_idx")).join(F.broadcast(classes), "class_idx").select("node_id", F.col("label").alias("pred")).join(inner.nodes, "node_id").select("node_id", "label", "pred")
-
-
 def weighted_cross_entropy(rows: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
     """(loss): mean of -w log p of the true class over (label, proba), proba normalised and clipped to [1e-7, 1 - 1e-7]."""
     w = weights.select("label", F.col("support_weight").alias("w"))

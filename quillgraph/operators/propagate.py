@@ -18,21 +18,21 @@ def row_sums(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy("node").agg(F.count("*").cast("double").alias("d"))
 
 
-def weights(edges: DataFrame, nodes: DataFrame, norm: str = "reference") -> DataFrame:
+def weights(edges: DataFrame, nodes: DataFrame, norm: str = "squared") -> DataFrame:
     """(i, j, w) of the propagation matrix over A + I.
 
-    'reference': (1 + d_i)(1 + d_j) (A + I)_ij^2, d the row sums of A and a self-loop giving 2 on the
+    'squared': (1 + d_i)(1 + d_j) (A + I)_ij^2, d the row sums of A and a self-loop giving 2 on the
     diagonal; 'sym': (A + I)_ij / sqrt((1 + d_i)(1 + d_j)), the usual symmetric normalisation.
     """
     loops = nodes.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(1.0).alias("w"))
     both = coo(edges).unionByName(loops).groupBy("i", "j").agg(F.sum("w").alias("w"))
     d = nodes.select(F.col("node_id").alias("node")).join(row_sums(edges), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) + 1).alias("d"))
     joined = both.join(d.select(F.col("node").alias("i"), F.col("d").alias("di")), "i").join(d.select(F.col("node").alias("j"), F.col("d").alias("dj")), "j")
-    value = F.col("di") * F.col("dj") * F.col("w") * F.col("w") if norm == "reference" else F.col("w") / F.sqrt(F.col("di") * F.col("dj"))
+    value = F.col("di") * F.col("dj") * F.col("w") * F.col("w") if norm == "squared" else F.col("w") / F.sqrt(F.col("di") * F.col("dj"))
     return joined.select("i", "j", value.alias("w"))
 
 
-def propagate(features: DataFrame, edges: DataFrame, norm: str = "reference", hops: int = 1) -> DataFrame:
+def propagate(features: DataFrame, edges: DataFrame, norm: str = "squared", hops: int = 1) -> DataFrame:
     """(node_id, features) after ``hops`` multiplications by the matrix; summed element by element."""
     w = weights(edges, features, norm)
     current = columns_long(features, "node_id", "features")

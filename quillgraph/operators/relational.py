@@ -76,6 +76,18 @@ def disagreement(members: DataFrame) -> DataFrame:
     return scored.groupBy("cluster").agg(F.sum("e").alias("score"))
 
 
+def neighbour_clusters(adj: DataFrame, members: DataFrame) -> DataFrame:
+    """(node_id, cluster, n): how many neighbours each node has in each cluster that they are in."""
+    of = members.select(F.col("node_id").alias("nbr"), "cluster")
+    return adj.join(of, "nbr").groupBy(F.col("node").alias("node_id"), "cluster").agg(F.count("*").alias("n"))
+
+
+def cluster_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, u, v): the edges inside each cluster, which with its members are its graph."""
+    u, v = (members.select(F.col("node_id").alias(c), F.col("cluster").alias(f"_{c}")) for c in "uv")
+    return edges.join(u, "u").join(v, "v").where("_u = _v").select(F.col("_u").alias("cluster"), "u", "v")
+
+
 def top_clusters(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "cluster").limit(k)
 

@@ -7,6 +7,7 @@ the seed alone.  A pool or graph that runs out gives fewer rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +67,12 @@ def by_edges(g: RelGraph, size: int, pool: DataFrame, seed: int = 0) -> DataFram
     return ranked(first, size, F.col("at"))
 
 
-def _spread(g: RelGraph, size: int, pool: DataFrame, seeds: DataFrame, reach: Callable[[DataFrame], DataFrame], most_levels: int = 50) -> DataFrame:
-    """Breadth-first from seeds over the kept arcs; pool nodes by (level, id) until there are enough."""
+def _spread(g: RelGraph, size: int, pool: DataFrame, seeds: DataFrame, reach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Breadth-first from seeds over the kept arcs, level by level until there are enough pool nodes or nothing new; pool nodes by (level, id)."""
     adj = reach(adjacency(g.edges))
     seen = scratch.materialise(seeds.select("node_id").withColumn("level", F.lit(0)), "levels")
     inside = pool.select("node_id")
-    for level in range(1, most_levels):
+    for level in count(1):
         taken = seen.join(inside, "node_id", "left_semi").count()
         frontier = seen.where(F.col("level") == level - 1)
         step = frontier.join(adj, F.col("node_id") == F.col("node")).select(F.col("nbr").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
@@ -124,8 +125,8 @@ def round_robin(members: DataFrame, size: int, seed: int) -> DataFrame:
 
 
 @sampler("ms", k=8)
-def by_modularity(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int = 8, mode: str = "reference") -> DataFrame:
-    """Modularity clusters of the graph, drawn from in turn."""
+def by_modularity(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int = 8, mode: str = "eigenvalue_count") -> DataFrame:
+    """Modularity clusters of the graph, drawn from in turn; mode 'power' takes a graph of any size."""
     clusters = modularity_clusters(g.edges, 0.8 * g.nodes.count() / k, mode)
     return round_robin(clusters.join(pool.select("node_id"), "node_id", "left_semi"), size, seed)
 
@@ -150,20 +151,22 @@ def nearest_unused(points: DataFrame, centres: list[list[float]], block: int = 6
         table = spark.createDataFrame([(i, c) for i, c in enumerate(centres[b : b + block], b)], "c int, centre array<double>")
         # at most ``block`` centres, a stated query set
         pairs = points.crossJoin(F.broadcast(table)).select("c", "node_id", distance("features", "centre").alias("d"))
-        kept = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("d", "node_id"))).where(F.col("_r") <= n)
+        # the nearest of each share of the points first, so no task ranks them all; centre c can lose c points at most
+        shares = pairs.withColumn("_s", F.pmod(F.xxhash64("node_id"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("c", "_s").orderBy("d", "node_id"))).where(F.col("_r") <= F.col("c") + 1)
+        kept = shares.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("d", "node_id"))).where(F.col("_r") <= F.col("c") + 1)
         for r in kept.orderBy("c", "_r").select("c", "node_id").collect():
             near.setdefault(r["c"], []).append(r["node_id"])
-    taken: list = []
+    taken: dict = {}
     for c in range(n):
         pick = next((x for x in near.get(c, []) if x not in taken), None)
         if pick is not None:
-            taken.append(pick)
+            taken[pick] = None
     kind = points.schema["node_id"].dataType.simpleString()
     return spark.createDataFrame([(x, i + 1) for i, x in enumerate(taken)], f"node_id {kind}, ord int")
 
 
 @sampler("fp")
-def by_propagation(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, norm: str = "reference", match_space: str = "raw") -> DataFrame:
+def by_propagation(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, norm: str = "squared", match_space: str = "raw") -> DataFrame:
     """As many k-means centres of the propagated features as nodes wanted; to each the nearest pool node by raw (or propagated) features."""
     inside = pool.select("node_id")
     moved = scratch.materialise(propagate(g.features, g.edges, norm).join(inside, "node_id", "left_semi"), "propagated")
@@ -216,12 +219,12 @@ def by_colour_3(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int =
 
 
 def seed_nodes(g: RelGraph, train: DataFrame, k: int, seed: int, attempts: int = 50) -> DataFrame:
-    """(node_id, ord): k random training nodes, drawn anew until they have two classes at least."""
+    """(node_id, ord): k random training nodes, drawn anew until they have two classes at least; raises if no draw has."""
     for attempt in range(attempts):
         picks = random_nodes(g, k, train, seed + attempt)
         if picks.join(g.nodes, "node_id").agg(F.count_distinct("label")).first()[0] >= 2:
             return picks
-    return picks
+    raise ValueError(f"{attempts} draws of {k} training nodes have one class each")
 
 
 def select(name: str, g: RelGraph, size: int, pool: DataFrame, seed: int, **params) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import sort_key
+from ..functions.rng import sort_key, uniform
 from ..functions.vectors import primes
 from ..plans import scratch
 from .graph import adjacency, degrees, end_points, induced
@@ -91,6 +91,43 @@ def one_round(current: DataFrame, inner: DataFrame, table: DataFrame) -> DataFra
     return sig.select("ego", "node", "old", F.dense_rank().over(Window.partitionBy("ego").orderBy("sig")).alias("colour"))
 
 
+def walks_with_retries(adj: DataFrame, starts: DataFrame, length: int, seed: int, tries: int = 5) -> DataFrame:
+    """(start, path): self-avoiding walks of ``length`` steps; one that gets stuck is walked anew, and null after so many tries."""
+    left, done = starts.select("node_id"), None
+    for turn in range(tries):
+        walked = random_walks(adj, left, length, seed + turn, self_avoiding=True)
+        whole = walked.where(F.size("path") == length + 1)
+        done = whole if done is None else done.unionByName(whole)
+        left = walked.where(F.size("path") <= length).select(F.col("start").alias("node_id"))
+    return done.unionByName(left.select(F.col("node_id").alias("start"), F.lit(None).cast(done.schema["path"].dataType).alias("path")))
+
+
+def capped_egos(edges: DataFrame, seeds: DataFrame, k: int, cap: int, seed: int) -> DataFrame:
+    """(ego, node): k hops of ``cap`` neighbours drawn with replacement for each node, then the largest component of what they induce.
+
+    Of equal components that with the least node; draws go by hashes, equal draws count once.
+    """
+    from .components import connected_components
+
+    adj = adjacency(edges)
+    lists = adj.groupBy("node").agg(F.sort_array(F.collect_list("nbr")).alias("all"))
+    frontier = seeds.select(F.col("node_id").alias("ego"), F.col("node_id").alias("node")).distinct()
+    members = frontier
+    for hop in range(k):
+        drawn = frontier.join(lists, "node").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
+        pick = F.get("all", F.floor(uniform(seed, "capped", "ego", "node", F.lit(hop), "i") * F.size("all")).cast("int"))
+        frontier = scratch.materialise(drawn.select("ego", pick.alias("node")).distinct(), "drawn")
+        members = members.unionByName(frontier).distinct()
+    members = scratch.materialise(members, "members")
+    inner = members.join(edges.where("u <> v").withColumnRenamed("u", "node"), "node").join(members.select("ego", F.col("node").alias("v")), ["ego", "v"])
+    key = lambda c: F.concat(F.col("ego").cast("string"), F.lit(":"), F.col(c).cast("string"))
+    joined = connected_components(inner.select(key("node").alias("u"), key("v").alias("v")))
+    of = members.withColumn("k", key("node")).join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    size = of.groupBy("ego", "component").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    top = size.groupBy("ego").agg(F.min_by("component", F.struct(-F.col("n"), "least")).alias("component"))
+    return of.join(top, ["ego", "component"], "left_semi").select("ego", "node")
+
+
 def random_walks(adj: DataFrame, starts: DataFrame, length: int, seed: int, self_avoiding: bool = False) -> DataFrame:
     """(start, path): each step takes the neighbour of least hash; a self-avoiding walk ends where no neighbour is new."""
     walks = starts.select(F.col("node_id").alias("start"), F.array("node_id").alias("path"), F.lit(False).alias("stuck"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,15 +14,52 @@ from ..functions.metrics import micro_f1
 from ..functions.vectors import averaged_rank
 from ..operators.graph import RelGraph
 from ..operators.models import MODELS
-from ..operators.sampling import seed_nodes, select, stratified_split
+from ..operators.sampling import REGISTRY, seed_nodes, select, stratified_split
 from ..sources.tables import ExperimentConfig, read_trials, write_trials
 from . import scratch
 
 TRIAL = "dataset string, classifier string, algo string, trial int, budget int, f1 double, seconds double"
 
 
+log = logging.getLogger("quillgraph")
+
+
+def log_to(path: str | None = None) -> logging.Logger:
+    """The engine's log goes to a local file of the driver, or to the console."""
+    for old in list(log.handlers):
+        log.removeHandler(old)
+    handler = logging.FileHandler(path) if path else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    return log
+
+
+def method(classifier: str, algo: str) -> tuple[Callable, Callable]:
+    """(model(graph, train, test), sampler(graph, size, pool, seed)) of two registered names; raises on an unknown one."""
+    if classifier not in MODELS or algo not in REGISTRY:
+        raise ValueError(f"unknown method {classifier}, {algo}; classifiers: {sorted(MODELS)}, samplers: {sorted(REGISTRY)}")
+    return MODELS[classifier], lambda g, size, pool, seed, **params: select(algo, g, size, pool, seed, **params)
+
+
+def matrix(spark: SparkSession, datasets: list[str], classifiers: list[str], algos: list[str]) -> DataFrame:
+    """(dataset, classifier, algo) of every experiment of a batch; the three lists are short."""
+    rows = [(d, c, a) for d in datasets for c in classifiers for a in algos]
+    return spark.createDataFrame(rows, "dataset string, classifier string, algo string")
+
+
+def run_matrix(graphs: dict[str, RelGraph], configs: list[ExperimentConfig], cache: str, cached: bool = False) -> DataFrame:
+    """The trials of several experiments, one after the other (each is a chain of Spark jobs); graphs by dataset."""
+    out = None
+    for config in configs:
+        one = run_experiment(graphs[config.dataset], config, cache, cached)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def run_trial(g: RelGraph, config: ExperimentConfig, classifier: str, algo: str, trial: int, share: float = 0.8, **params) -> DataFrame:
     """(dataset, classifier, algo, trial, budget, f1, seconds) for each budget; seeds are drawn anew for each."""
+    model, sample = method(classifier, algo)
     seed = config.seed + trial
     split = scratch.materialise(stratified_split(g.nodes, share, seed), "split")
     train, test = split.where("is_train"), split.where("not is_train")
@@ -29,10 +68,11 @@ def run_trial(g: RelGraph, config: ExperimentConfig, classifier: str, algo: str,
         seeds = scratch.materialise(seed_nodes(g, train, config.al_batch, seed + budget), "seeds")
         pool = train.join(seeds, "node_id", "left_anti")
         began = time.perf_counter()
-        picks = scratch.materialise(select(algo, g, budget - seeds.count(), pool, seed + budget, **params), "selection")
+        picks = scratch.materialise(sample(g, budget - seeds.count(), pool, seed + budget, **params), "selection")
         seconds = time.perf_counter() - began
         labelled = seeds.select("node_id").unionByName(picks.select("node_id")).distinct()
-        f1 = micro_f1(MODELS[classifier](g, labelled, test), []).first()
+        f1 = micro_f1(model(g, labelled, test), []).first()
+        log.info("%s %s %s trial %d budget %d: f1 %s in %.2f s", config.dataset, classifier, algo, trial, budget, f1["f1"] if f1 else None, seconds)
         rows.append((config.dataset, classifier, algo, trial, budget, f1["f1"] if f1 else None, seconds))
     return g.nodes.sparkSession.createDataFrame(rows, TRIAL)
 

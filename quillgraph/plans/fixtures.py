@@ -35,7 +35,7 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> RelGraph:
     e = table(spark, sf_dir, "embeddings")
     n = e.count()
     nodes = e.select(F.col("vec_id").alias("node_id"), F.col("label").cast("string").alias("label"))
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_orderkey") < 4 * n))
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
     edges = lines.select((F.col("l_partkey") % n).alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("dst"))
     return build(nodes, edges, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("features")))
 
@@ -59,7 +59,7 @@ f AS (SELECT p_partkey AS node_id, (p_size - s0) / CAST(s1 - s0 AS DOUBLE) AS s,
 #: SQL of ``vector_graph``, the same names; features stay in the embeddings.
 F2 = """
 c AS (SELECT count(*) AS n FROM embeddings),
-r AS (SELECT l_partkey % n AS x, (l_orderkey * 7 + l_suppkey) % n AS y FROM lineitem, c WHERE l_linenumber = 1 AND l_orderkey < 4 * n),
+r AS (SELECT l_partkey % n AS x, (l_orderkey * 7 + l_suppkey) % n AS y FROM lineitem, c WHERE l_linenumber = 1),
 e AS (SELECT DISTINCT least(x, y) AS u, greatest(x, y) AS v FROM r),
 a AS (SELECT u AS node, v AS nbr FROM e UNION SELECT v, u FROM e),
 g AS (SELECT vec_id AS node_id, CAST(label AS VARCHAR) AS label FROM embeddings WHERE vec_id IN (SELECT node FROM a))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.metrics import accuracy, label_entropy, micro_f1
 from ..functions.rng import sort_key, sql_key, sql_uniform, uniform
-from ..functions.vectors import columns_long, distance, min_max
+from ..functions.vectors import columns_long, distance, min_max, principal_components
 from ..operators import community, models, propagate, relational, sampling, structure
 from ..operators.graph import RelGraph, class_index, components, counts, degrees, endpoint_filter, homophily, induced, largest_component, undirected
 from ..sources import tables
@@ -20,8 +20,6 @@ from .synth import planted_graph
 SEED = 7
 #: Training nodes and labelled nodes of the queries, as SQL over the graph's nodes.
 SPLIT = f"s AS (SELECT node_id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_key(SEED, 'split', 'node_id')}, node_id) <= greatest(floor(count(*) OVER (PARTITION BY label) * 0.8 + 0.5), 1) AS is_train FROM g)"
-#: The seeds of the k-hop queries, whose SQL has them.
-FEW = 20
 
 
 def _train(g: RelGraph) -> DataFrame:
@@ -98,28 +96,26 @@ def homophily_query(spark: SparkSession, d: str) -> DataFrame:
     return homophily(g.edges, g.nodes).select(F.round("homophily", 9).alias("homophily"))
 
 
-_THIRD = "h AS (SELECT * FROM e WHERE (u + v) % 3 = 0), ha AS (SELECT u AS node, v AS nbr FROM h UNION SELECT v, u FROM h)"
-_REACH = f"{_THIRD}, w AS (SELECT node, node AS r FROM ha UNION SELECT ha.nbr, w.r FROM w JOIN ha ON ha.node = w.node), z AS (SELECT node AS node_id, min(r) AS component FROM w GROUP BY 1)"
+_REACH = "w AS (SELECT node, node AS r FROM a UNION SELECT a.nbr, w.r FROM w JOIN a ON a.node = w.node), z AS (SELECT node AS node_id, min(r) AS component FROM w GROUP BY 1)"
 
 
 @query("connected_components", f"WITH RECURSIVE {F1}, {_REACH} SELECT node_id, component FROM z")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return components(co_order(spark, d).edges.where("(u + v) % 3 = 0"))
+    return components(co_order(spark, d).edges)
 
 
 @query("component_count", f"WITH RECURSIVE {F1}, {_REACH} SELECT count(DISTINCT component) AS components FROM z")
 def component_count(spark: SparkSession, d: str) -> DataFrame:
-    return components(co_order(spark, d).edges.where("(u + v) % 3 = 0")).agg(F.count_distinct("component").alias("components"))
+    return components(co_order(spark, d).edges).agg(F.count_distinct("component").alias("components"))
 
 
 @query("largest_component", f"WITH RECURSIVE {F1}, {_REACH} SELECT z.node_id, label FROM z JOIN g ON g.node_id = z.node_id WHERE component = (SELECT component FROM z GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def largest(spark: SparkSession, d: str) -> DataFrame:
-    g = co_order(spark, d)
-    return largest_component(RelGraph(g.nodes, g.edges.where("(u + v) % 3 = 0"))).nodes.select("node_id", "label")
+    return largest_component(co_order(spark, d)).nodes.select("node_id", "label")
 
 
 def _hop_sql(k: int) -> str:
-    return f"""WITH RECURSIVE {F1}, q AS (SELECT node_id AS seed FROM g ORDER BY node_id LIMIT {FEW}),
+    return f"""WITH RECURSIVE {F1}, q AS (SELECT node_id AS seed FROM g),
 w AS (SELECT seed, seed AS node, 0 AS hop FROM q UNION SELECT w.seed, a.nbr, hop + 1 FROM w JOIN a ON a.node = w.node WHERE hop < {k}),
 l AS (SELECT seed, node, min(hop) AS hop FROM w WHERE node <> seed GROUP BY 1, 2)
 SELECT seed, node, CAST(hop AS INT) AS hop FROM l UNION ALL SELECT DISTINCT seed, seed, 2 FROM l WHERE {k} >= 2"""
@@ -127,7 +123,7 @@ SELECT seed, node, CAST(hop AS INT) AS hop FROM l UNION ALL SELECT DISTINCT seed
 
 def _hops(spark: SparkSession, d: str, k: int) -> DataFrame:
     g = co_order(spark, d)
-    return structure.hops(g.adj, g.nodes.orderBy("node_id").limit(FEW), k)
+    return structure.hops(g.adj, g.nodes, k)
 
 
 @query("khop_neighbors_2", _hop_sql(2))
@@ -348,7 +344,8 @@ def sample_snowball_seeds(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d, "ss", n_seeds=3)
 
 
-@query("sample_forest_fire")
+@query("sample_forest_fire", f"""WITH RECURSIVE {_POOL}, sd AS (SELECT node_id FROM pool ORDER BY {sql_key(SEED, 'rs', 'node_id')}, node_id LIMIT 1), b AS (SELECT node, nbr FROM a WHERE {sql_uniform(SEED, 'ffs0', 'node', 'nbr')} <= 0.7),
+w AS (SELECT node_id, 0 AS level FROM sd UNION SELECT b.nbr, level + 1 FROM w JOIN b ON b.node = w.node_id WHERE level < 14), x AS (SELECT node_id, min(level) AS level FROM w JOIN pool USING (node_id) GROUP BY 1) {_top('x', 'level')}""")
 def sample_forest_fire(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d, "ffs")
 
@@ -402,7 +399,7 @@ def _long(features: DataFrame, digits: int = 4) -> DataFrame:
     return columns_long(features, "node_id", "features").select("node_id", "pos", F.round("value", digits).alias("value"))
 
 
-@query("feature_propagation", f"WITH {F2}, {_W}, {_EMB} SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(di.d * dj.d * w * w * value), 4) AS value FROM wt JOIN dg di ON di.node = i JOIN dg dj ON dj.node = j JOIN x ON x.node_id = j GROUP BY 1, 2")
+@query("feature_propagation", f"WITH {F2}, {_W}, {_EMB} SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(di.d * dj.d * w * w * value), 4) + 0.0 AS value FROM wt JOIN dg di ON di.node = i JOIN dg dj ON dj.node = j JOIN x ON x.node_id = j GROUP BY 1, 2")
 def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
     g = vector_graph(spark, d)
     return _long(propagate.propagate(g.features, g.edges))
@@ -411,7 +408,7 @@ def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
 _SYM = "sw AS (SELECT i, j, w / sqrt(di.d * dj.d) AS w FROM wt JOIN dg di ON di.node = i JOIN dg dj ON dj.node = j)"
 
 
-@query("sgc_propagation", f"WITH {F2}, {_W}, {_EMB}, {_SYM}, h AS (SELECT i AS node_id, pos, sum(w * value) AS value FROM sw JOIN x ON x.node_id = j GROUP BY 1, 2) SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(w * value), 4) AS value FROM sw JOIN h ON h.node_id = j GROUP BY 1, 2")
+@query("sgc_propagation", f"WITH {F2}, {_W}, {_EMB}, {_SYM}, h AS (SELECT i AS node_id, pos, sum(w * value) AS value FROM sw JOIN x ON x.node_id = j GROUP BY 1, 2) SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(w * value), 4) + 0.0 AS value FROM sw JOIN h ON h.node_id = j GROUP BY 1, 2")
 def sgc_propagation(spark: SparkSession, d: str) -> DataFrame:
     g = vector_graph(spark, d)
     return _long(propagate.propagate(g.features, g.edges, "sym", 2))
@@ -489,7 +486,7 @@ def _algos(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in trials(spark, d).select("algo").distinct().orderBy("algo").collect()]
 
 
-@query("budget_pivot", f"WITH {TRIALS}, m AS (SELECT algo, budget, round(avg(f1), 6) AS f FROM t GROUP BY 1, 2) PIVOT m ON algo USING first(f) GROUP BY budget")
+@query("budget_pivot", f"WITH {TRIALS}, m AS (SELECT algo, budget, round(avg(f1), 6) AS f FROM t GROUP BY 1, 2) SELECT budget, " + ", ".join(f"max(CASE WHEN algo = '{k}' THEN f END) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM m GROUP BY 1")
 def budget_pivot(spark: SparkSession, d: str) -> DataFrame:
     out = experiment.summarise(trials(spark, d).withColumn("seconds", F.lit(0.0)), ["algo", "budget"]).withColumn("f", F.round("f1_mean", 6))
     return experiment.by_budget(out, "f", _algos(spark, d))
@@ -609,7 +606,7 @@ def modularity_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("power_bisection")
 def power_bisection(spark: SparkSession, d: str) -> DataFrame:
-    return community.power_bisection(co_order(spark, d).edges, 8)
+    return community.power_bisection(co_order(spark, d).edges)
 
 
 @query("spectral")
@@ -625,7 +622,7 @@ def content_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ica_predict")
 def ica_predict(spark: SparkSession, d: str) -> DataFrame:
-    return models.collective(*_small(spark, d), rounds=3)
+    return models.collective(*_small(spark, d))
 
 
 @query("ica_predict_in_order")
@@ -640,14 +637,14 @@ def sgc_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gsage_predict")
 def gsage_predict(spark: SparkSession, d: str) -> DataFrame:
-    return models.sampled_means(*_small(spark, d), epochs=20)
+    return models.sampled_means(*_small(spark, d))
 
 
 @query("alfnet")
 def alfnet(spark: SparkSession, d: str) -> DataFrame:
     g, train, _ = _small(spark, d)
     clusters, _ = community.kmeans_clusters(g.features, 8)
-    return models.alfnet(g, train, scratch.materialise(clusters.select("cluster", "node_id"), "clusters"), 16, rounds=2)
+    return models.alfnet(g, train, scratch.materialise(clusters.select("cluster", "node_id"), "clusters"), 16)
 
 
 @query("betweenness")
@@ -655,6 +652,65 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return structure.path_centralities(vector_graph(spark, d).edges)[0]
 
 
+@query("edge_betweenness")
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return structure.path_centralities(vector_graph(spark, d).edges)[1]
+
+
+@query("structural_features")
+def structural_features(spark: SparkSession, d: str) -> DataFrame:
+    return structure.structural_features(vector_graph(spark, d).edges)
+
+
+@query("inside_betweenness")
+def inside_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    g, train, _ = _small(spark, d)
+    return structure.inside_betweenness(g.edges, train)
+
+
+@query("medoids")
+def medoids(spark: SparkSession, d: str) -> DataFrame:
+    g, train, _ = _small(spark, d)
+    return community.medoids(g.features, g.edges, train, 4)
+
+
+@query("principal_components")
+def principal(spark: SparkSession, d: str) -> DataFrame:
+    return principal_components(vector_graph(spark, d).features, 2)
+
+
+@query("power_iteration_clusters")
+def power_iteration(spark: SparkSession, d: str) -> DataFrame:
+    pairs = co_order(spark, d).edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight"))
+    return community.power_iteration_clusters(pairs, 4)
+
+
+@query("power_modularity_clusters")
+def power_modularity(spark: SparkSession, d: str) -> DataFrame:
+    g = co_order(spark, d)
+    return community.modularity_clusters(g.edges, 0.8 * g.nodes.count() / 4, "power")
+
+
+@query("walks_with_retries")
+def walks_with_retries(spark: SparkSession, d: str) -> DataFrame:
+    g = co_order(spark, d)
+    return structure.walks_with_retries(g.adj, g.nodes, 4, SEED)
+
+
+@query("capped_neighborhoods")
+def capped_neighborhoods(spark: SparkSession, d: str) -> DataFrame:
+    g = co_order(spark, d)
+    return structure.capped_egos(g.edges, g.nodes, 2, 3, SEED)
+
+
+@query("content_probabilities")
+def content_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    g, train, _ = _small(spark, d)
+    x = g.features.select("node_id", F.col("features").alias("x"))
+    model = models.logistic(g.nodes.join(train.select("node_id"), "node_id", "left_semi").join(x, "node_id"), g.classes())
+    return models.probabilities(model, x)
+
+
 @query("random_walks")
 def random_walks(spark: SparkSession, d: str) -> DataFrame:
     g = co_order(spark, d)

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session, without a trailing slash."""
+    """The shared checkpoint folder of this session, without a trailing slash; raises on a cluster that names none."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = f"file://{tempfile.gettempdir()}/quillgraph-shared-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -40,10 +44,23 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with small_batches(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs run inside send Python workers so many rows at a time; the session's own setting is back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = dict(spark.conf.getAll).get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file systems, whatever store it is in."""
     jvm = spark.sparkContext._jvm
@@ -87,8 +104,3 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a worker holds a few MB of long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

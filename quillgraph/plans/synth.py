@@ -9,6 +9,13 @@ from ..functions.rng import uniform
 from ..operators.graph import RelGraph, build
 
 
+def planted_classes(spark: SparkSession, n: int, classes: int, balance: float, seed: int) -> DataFrame:
+    """(node_id, c): n nodes in classes by hash; ``balance`` above 0 favours the first."""
+    u = uniform(seed, "class", "id")
+    share = F.pow(u, F.lit(1.0 + balance)) if balance else u
+    return spark.range(n).select(F.col("id").alias("node_id"), F.floor(share * classes).cast("int").alias("c"))
+
+
 def planted_graph(spark: SparkSession, n: int, classes: int = 3, mean_degree: float = 4.0, homophily: float = 0.8, features: int = 8, signal: float = 0.8, balance: float = 0.0, seed: int = 0) -> RelGraph:
     """Nodes with classes, edges of which about a share ``homophily`` join equal classes, and 0/1 features.
 
@@ -18,7 +25,7 @@ def planted_graph(spark: SparkSession, n: int, classes: int = 3, mean_degree: fl
     preferential attachment is sequential and not reproduced; isolates drop out.
     """
     u = lambda purpose, *c: uniform(seed, purpose, *c)
-    base = spark.range(n).select(F.col("id").alias("node_id"), F.floor(F.pow(u("class", "id"), F.lit(1.0 + balance)) * classes).cast("int").alias("c"))
+    base = planted_classes(spark, n, classes, balance, seed)
     # the position of a node in its class, through one count for each class
     keyed = base.withColumn("k", u("place", "node_id"))
     m = int(n * mean_degree / 2)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import RelGraph, build
+
 NUMBERS = "array<double>"
 
 
@@ -83,6 +85,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, features: DataFrame, path: s
     features.select(F.concat_ws(",", F.col("node_id").cast("string"), F.concat_ws(",", F.col("features").cast("array<string>"))).alias("value")).write.mode("overwrite").text(f"{path}/features")
 
 
+def load_graph(spark: SparkSession, base: str, source: str) -> RelGraph:
+    """The graph of a dataset that ``write_graph`` (or the like) has left under ``dataset_path``; ids are text."""
+    path = dataset_path(base, source)
+    return build(node_csv(spark, f"{path}/nodes"), edge_csv(spark, f"{path}/edges"), feature_csv(spark, f"{path}/features"))
+
+
 def write_dump(nodes: DataFrame, edges: DataFrame, labelled: DataFrame, train: DataFrame, path: str) -> None:
     """Edge list, and node, class, is_labeled, is_train."""
     flags = flagged_nodes(nodes, labelled, train)

@@ -120,7 +120,7 @@ def test_propagation_matches_dense(spark):
     for u, v in [*TAIL, (4, 4)]:
         a[u - 1, v - 1] = a[v - 1, u - 1] = 1
     d = a.sum(axis=1) + 1
-    for norm, s in (("reference", np.outer(d, d) * (a + np.eye(4)) ** 2), ("sym", (a + np.eye(4)) / np.sqrt(np.outer(d, d)))):
+    for norm, s in (("squared", np.outer(d, d) * (a + np.eye(4)) ** 2), ("sym", (a + np.eye(4)) / np.sqrt(np.outer(d, d)))):
         got = as_dict(propagate.propagate(f, e, norm))
         assert np.allclose([got[i + 1] for i in range(4)], s @ x)
 
