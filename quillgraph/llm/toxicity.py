@@ -25,7 +25,7 @@ def features(data, offsets, bits: int):
     """
     import numpy as np
 
-    from .text import LOWER, SpanHash, mix, rows_of
+    from .text import LOWER, mix, rows_of, word_hash
 
     solid = np.zeros(256, bool)
     solid[48:58] = solid[65:91] = solid[97:123] = solid[128:] = True
@@ -39,7 +39,7 @@ def features(data, offsets, bits: int):
     inner = inner[(inner > 0) & (inner < len(data))]
     before[inner], after[inner - 1] = False, False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    word, row = SpanHash(low)(starts, ends), rows_of(starts, offsets)
+    word, row = word_hash(low, starts, ends), rows_of(starts, offsets)
     rows, out = [], []
     for k, gram in enumerate(GRAMS):
         n = len(word) - (gram[-1] if gram else 0)
@@ -131,8 +131,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, every]), pa.array(np.r_[model.bias(), w])], names=["index", "weight"])
 
     scratch.ship(spark)
-    scratch.bounded_batches(spark)
-    got = rows.mapInArrow(work, "index long, weight double").toArrow()
+    with scratch.small_batches(spark):
+        got = rows.mapInArrow(work, "index long, weight double").toArrow()
     index, weight = got.column("index").to_numpy(), got.column("weight").to_numpy()
     return index[1:], weight[1:], float(weight[0]) if len(index) else None
 
