@@ -32,7 +32,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 def map_texts(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers; Spark bounds a batch by bytes, ``slices`` cuts it further."""
     scratch.ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(tidied(work), schema)
+
+
+def tidied(work: Callable) -> Callable:
+    """The work; at its end the worker, which waits for other tasks, gives memory that it doesn't use back to the system."""
+
+    def run(batches):
+        import ctypes
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -275,7 +275,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
                 clean[[k[0] for k in items.search(*normal_words(*utf8(part.column(text_col))))]] = False
                 yield part.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(work, documents.schema)
+        kept = map_texts(kept, work, documents.schema)
     return kept
 
 

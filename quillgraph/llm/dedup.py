@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import scratch
-from .common import fresh, table
+from .common import fresh, table, tidied
 
 GRAM = 20
 #: Bytes of one suffix-sorted block, and of text whose runs are combined before they are sent.
@@ -134,7 +134,7 @@ def crowded_anchors(texts: DataFrame, size: int, sample_rows: int, least: int, n
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64))], names=["anchor", "run"])
 
     sample = texts.sample(fraction=share, seed=5).limit(sample_rows).select("text")
-    found = sample.mapInArrow(work, "anchor long, run long").distinct().groupBy("anchor").count().where(F.col("count") >= least).select("anchor").toArrow()
+    found = sample.mapInArrow(tidied(work), "anchor long, run long").distinct().groupBy("anchor").count().where(F.col("count") >= least).select("anchor").toArrow()
     return np.sort(found.column("anchor").to_numpy().view(np.uint64))
 
 
@@ -213,7 +213,7 @@ def deal(texts: DataFrame, size: int, tasks: int, crowded) -> DataFrame:
         if held:
             yield flush(held, windows, turn)
 
-    return texts.select("pos", "tie", "text").mapInArrow(work, "bucket int, kind string, blob binary")
+    return texts.select("pos", "tie", "text").mapInArrow(tidied(work), "bucket int, kind string, blob binary")
 
 
 def settle(dealt: DataFrame, size: int, tasks: int, most_runs: int) -> DataFrame:
@@ -263,7 +263,7 @@ def settle(dealt: DataFrame, size: int, tasks: int, most_runs: int) -> DataFrame
             bodies = [pack(anchor[a:b], start[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.where(crowded[new], "c", "q").tolist(), pa.string()), pa.array(pos[new], pa.int64()), pa.array(tie[new], pa.int32()), pa.array(bodies, pa.binary())], names=names)
 
-    return dealt.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(work, "kind string, pos long, tie int, body binary")
+    return dealt.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(tidied(work), "kind string, pos long, tie int, body binary")
 
 
 def snippets(texts: DataFrame, asked: DataFrame, size: int, tasks: int) -> DataFrame:
@@ -312,7 +312,7 @@ def snippets(texts: DataFrame, asked: DataFrame, size: int, tasks: int) -> DataF
                     rows.append((b, "w", pack(one[k], two[k], every_pos[own[k]], every_tie[own[k]].astype("i4"), at[k].astype("i4"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
-    return texts.select("pos", "tie", "text").join(wanted, ["pos", "tie"]).select("pos", "tie", "text", "bodies", "crowded").mapInArrow(work, "bucket int, kind string, blob binary")
+    return texts.select("pos", "tie", "text").join(wanted, ["pos", "tie"]).select("pos", "tie", "text", "bodies", "crowded").mapInArrow(tidied(work), "bucket int, kind string, blob binary")
 
 
 def block_spans(anchor, pos, tie, start, data, offsets, size: int):
@@ -376,7 +376,7 @@ def compare(gathered: DataFrame, size: int, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(["s"] * len(found[0]), pa.string()), *found], names=["kind", "pos", "tie", "body"])
             a = b
 
-    return gathered.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(work, "kind string, pos long, tie int, body binary")
+    return gathered.repartitionById(tasks, F.col("bucket")).select("kind", "blob").mapInArrow(tidied(work), "kind string, pos long, tie int, body binary")
 
 
 def repeated_spans(texts: DataFrame, size: int = 100, sample_rows: int = 4000, crowd: int = 24, most_runs: int = 20_000) -> DataFrame:
@@ -438,7 +438,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4])], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(work, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidied(work), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", size: int = 100) -> DataFrame:
@@ -468,7 +468,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             part = part.drop_columns([found])
             yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(texts, part.schema.field(text_col).type))
 
-    out = joined.mapInArrow(work, df.schema)
+    out = joined.mapInArrow(tidied(work), df.schema)
     return out.withColumn(chars_col, F.char_length(text_col).cast(df.schema[chars_col].dataType)) if chars_col in df.columns else out
 
 

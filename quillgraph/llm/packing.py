@@ -260,7 +260,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, i
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(work, schema)
+    return map_texts(ranked.select(*names, "rank"), work, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def spanning_links(distinct: DataFrame, radius: int, bucket_cap: int) -> DataFra
 
     scratch.ship(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(tasks, "bucket").mapInArrow(link, "u long, v long").distinct()
+    return map_texts(keyed.repartition(tasks, "bucket"), link, "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, bucket_cap: int = 20_000) -> DataFrame:
@@ -250,7 +250,7 @@ def _candidates(dealt: DataFrame, radius: int, known: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, "bucket").mapInArrow(link, "a long, b long").where("a <> b").distinct()
+    return map_texts(dealt.repartition(tasks, "bucket"), link, "a long, b long").where("a <> b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, named: DataFrame, shingle: int, least: float) -> DataFrame:

@@ -132,7 +132,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     scratch.ship(spark)
     with scratch.small_batches(spark):
-        got = rows.mapInArrow(work, "index long, weight double").toArrow()
+        got = map_texts(rows, work, "index long, weight double").toArrow()
     index, weight = got.column("index").to_numpy(), got.column("weight").to_numpy()
     return index[1:], weight[1:], float(weight[0]) if len(index) else None
 
