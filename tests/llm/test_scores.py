@@ -276,6 +276,41 @@ def test_lm_takes_a_text_longer_than_a_slice(spark):
     assert got[2, 3]["score"] == got[3, 3]["score"]
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    """Codebook, letters and followers are counted over the corpus, however it is cut into tasks and units."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "of", "cat", f"w{rng.randint(0, 60)}", f"rare{rng.randint(0, 10**6)}é"]) for _ in range(rng.randint(0, 150)))) for i in range(200)]
+    got = []
+    for partitions, unit_bytes, files in (("2", 16 << 20, 1), ("13", 1 << 12, 9)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append({r["doc_id"]: (r["base_score"], r["score"]) for r in lm_scoring.score(h.table(spark, rows).repartition(files), unit_bytes=unit_bytes, codebook=40).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0].keys() == got[1].keys()
+    for d, pair in got[0].items():
+        assert pair == pytest.approx(got[1][d], rel=1e-6, abs=1e-6)
+
+
+def test_lm_counts_of_any_size(spark):
+    """A follower seen a million of ten million times, and a word of five thousand million occurrences, come back whole."""
+    wide = np.array([0, 1, 65534, 65535, 65536, 10**7, 2**32 - 1, 2**32, 5 * 10**9], np.int64)
+    for kind in (np.uint16, np.uint32):
+        blob = b"x" + lm_scoring.narrow(wide, kind) + lm_scoring.narrow(wide[:3], kind)
+        one, at = lm_scoring.widen(blob, len(wide), kind, 1)
+        two, end = lm_scoring.widen(blob, 3, kind, at)
+        assert one.tolist() == wide.tolist() and two.tolist() == wide[:3].tolist() and end == len(blob)
+    pairs, words = np.array([5 << 16 | 7, 5 << 16 | 9], np.uint64), np.array([11], np.uint64)
+    asked = [("p", 0, 0, lm_scoring.pack(pairs, np.array([10**6 << 1, 9 * 10**6 << 1]))), ("p", 1, 0, lm_scoring.pack(pairs[:1], np.array([1]))), ("w", 0, 0, lm_scoring.pack(words, np.array([3 * 10**9]))), ("w", 1, 0, lm_scoring.pack(words, np.array([2 * 10**9])))]
+    df = spark.createDataFrame([(k, u, b, bytearray(x)) for k, u, b, x in asked], lm_scoring.ROWS)
+    got = {(r["kind"], r["unit"]): bytes(r["blob"]) for r in lm_scoring.answer(df, np.zeros(0, np.uint64), 1).collect()}
+    assert lm_scoring.widen(got["w", 1], 1, np.uint32)[0].tolist() == [5 * 10**9]
+    blob = got["p", 1]
+    total, at = lm_scoring.widen(blob, 1, np.uint16, 3)
+    top_count, _ = lm_scoring.widen(blob, 1, np.uint16, at)
+    assert np.frombuffer(blob, np.uint16, 1, 1)[0] == 9 and total.tolist() == [10**7] and top_count.tolist() == [9 * 10**6]
+    has, true, count, others = context_mixing.followers(np.array([7, 9]), np.zeros(2, np.int64), np.repeat(total, 2), np.array([9, 9]), np.repeat(top_count, 2))
+    assert has.all() and true.tolist() == [False, True] and count.tolist() == [9 * 10**6] * 2 and others.tolist() == [10**6] * 2
+
+
 def test_lm_tells_long_words_apart(spark):
     """Words of 1,024 bytes and more whose polynomial hashes modulo 2**64 are equal have counts of their own."""
     word = "a"
