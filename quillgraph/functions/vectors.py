@@ -43,6 +43,47 @@ def back_to_arrays(long: DataFrame, key: str, name: str = "features") -> DataFra
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(name))
 
 
+#: Elements of a vector that are summed side by side as columns.
+BLOCK = 64
+
+
+def width_of(df: DataFrame, vector: str = "features") -> int:
+    """Length of the longest vector; 0 for no rows."""
+    return df.agg(F.max(F.size(vector))).first()[0] or 0
+
+
+def vector_sums(rows: DataFrame, key: list[str], vector: str, width: int, weight=None, mean: bool = False) -> DataFrame:
+    """(key.., vector): for each key the sum (or mean) of the vectors, element by element, each times ``weight``.
+
+    Elements are columns of one aggregation, ``BLOCK`` at a time, so sums are partial in each task and one vector for each
+    key and task is shuffled, not one row for each element.  Vectors may differ in length and have nulls, which
+    count as zero; the result is as long as the longest vector of its key, ``width`` at most.  Means are of vectors of equal length.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    narrow = width <= BLOCK
+    base = rows.select(*key, w.alias("_w"), F.col(vector).alias("_v"))
+    if narrow:
+        parts = base.withColumn("_b", F.lit(0))
+    else:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("_v"), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice("_v", b * BLOCK + 1, BLOCK))
+        parts = base.select(*key, "_w", F.posexplode(cut).alias("_b", "_v"))
+    size = max(1, min(width, BLOCK))
+    sums = [F.sum(F.col("_w") * F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(size)]
+    by = key if narrow else [*key, "_b"]
+    added = parts.groupBy(*by).agg(F.max(F.size("_v")).alias("_size"), F.count("*").alias("_n"), *sums)
+    over = F.col("_n").cast("double") if mean else F.lit(1.0)
+    block = F.slice(F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) / over for i in range(size)]), F.lit(1), F.greatest("_size", F.lit(0)))
+    if narrow:
+        return added.select(*key, block.alias(vector))
+    # as many rows for each key as the vector has blocks
+    return added.select(*key, "_b", block.alias("_v")).groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_v"))), lambda x: x["_v"])).alias(vector))
+
+
+def scaled(vector, by) -> Column:
+    """Each element times a number."""
+    return F.transform(vector, lambda x: x * by)
+
+
 def min_max(df: DataFrame, column: str) -> DataFrame:
     """The column scaled to [0, 1] over all rows; a constant column gives 0."""
     edge = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))

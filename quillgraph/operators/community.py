@@ -34,11 +34,11 @@ def modularity_clusters(edges: DataFrame, cap: float, mode: str = "eigenvalue_co
 
     'eigenvalue_count' splits the ids in order at the number of eigenvalues that are not positive
     (with a tolerance, as zero is always an eigenvalue); 'leading_eigenvector' splits by the signs
-    of the leading eigenvector; both are dense and raise above ``MOST_NODES`` nodes.  'power' finds
-    that vector by distributed power iteration, at any size.  Nothing comes of a graph smaller than ``cap``.
+    of the leading eigenvector; both are dense and raise above ``MOST_NODES`` nodes.  'krylov' (or 'power') finds
+    that vector by block Krylov iteration on joins, all parts of a level at once, at any size.  Nothing comes of a graph smaller than ``cap``.
     """
-    if mode == "power":
-        return _power_clusters(edges, cap)
+    if mode in ("krylov", "power"):
+        return _krylov_clusters(edges, cap)
     ids, a = _dense(edges)
     out: list[np.ndarray] = []
 
@@ -60,46 +60,160 @@ def modularity_clusters(edges: DataFrame, cap: float, mode: str = "eigenvalue_co
     return edges.sparkSession.createDataFrame(rows, f"cluster int, node_id {kind}")
 
 
-def _power_clusters(edges: DataFrame, cap: float) -> DataFrame:
-    """(cluster, node_id): parts are split one after the other, each by sparse power iteration on its own edges."""
-    from ..plans import scratch
-    from .graph import end_points, induced
-
-    waiting, done = [scratch.materialise(end_points(edges), "part")], []
-    while waiting:
-        part = waiting.pop()
-        if part.count() < cap:
-            continue
-        halves = scratch.materialise(part.join(power_bisection(induced(edges, part)), "node_id", "left").fillna(0, ["cluster"]), "halves")
-        sizes = dict(halves.groupBy("cluster").count().collect())
-        if len(sizes) < 2 or min(sizes.values()) < cap:
-            done.append(part)
-            continue
-        waiting += [halves.where(F.col("cluster") == c).select("node_id") for c in (0, 1)]
-    out = None
-    for i, part in enumerate(done):
-        one = part.select(F.lit(i).alias("cluster"), "node_id")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else end_points(edges).limit(0).select(F.lit(0).alias("cluster"), "node_id")
-
-
-def power_bisection(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(cluster, node_id): signs of the leading modularity eigenvector by power iteration on sparse joins; any size."""
+#: Vectors iterated together, multiplications between two Rayleigh-Ritz steps, and how often at most.
+_VECTORS, _STEPS, _MOST_CYCLES = 4, 7, 40
+#: Residual of the leading eigenpair, as a share of the eigenvalue, that ends the iteration.
+TOLERANCE = 1e-4
+
+
+def _ritz(gram: np.ndarray, vectors: int) -> tuple[np.ndarray, float, float]:
+    """(coefficients, leading value, its residual) of the best vectors in a block Krylov space.
+
+    ``gram``: products of the blocks X, MX, .., M^s X; all but the last span the space, and M moves each to the next.
+    """
+    size = gram.shape[0] - vectors
+    length = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    unit = gram / length[:, None] / length[None, :]
+    values, axes = np.linalg.eigh(unit[:size, :size])
+    kept = values > 1e-11 * max(values[-1], 1e-300)
+    white = axes[:, kept] / np.sqrt(values[kept])
+    # M moves column j to column j + vectors, whose length differs
+    moved = unit[:size, vectors:] * (length[vectors:] / length[:size])[None, :]
+    inner = white.T @ moved @ white
+    ritz, mix = np.linalg.eigh((inner + inner.T) / 2)
+    best = white @ mix[:, ::-1][:, :vectors]
+    best = np.hstack([best, np.zeros((size, vectors - best.shape[1]))]) / length[:size, None]
+    first, top = best[:, 0], float(ritz[-1])
+    rest = np.r_[np.zeros(vectors), first] - top * np.r_[first, np.zeros(vectors)]
+    norm = float(first @ gram[:size, :size] @ first)
+    return best, top, float(np.sqrt(max(rest @ gram @ rest, 0.0) / max(norm, 1e-300)))
+
+
+def leading_vectors(members: DataFrame, arcs: DataFrame, seed: int = 7) -> DataFrame:
+    """(part, node_id, x): the leading eigenvector of the modularity matrix of each part, all parts in the same jobs.
+
+    ``members``: (part, node_id); ``arcs``: (node, nbr) inside the parts, both ways, a self-loop once.  Blocks of
+    vectors are multiplied by the sparse matrix (a join and a sum of vectors) less its rank-one
+    term; of the products one small matrix for each part comes to the driver, where the best
+    vectors of the block Krylov space are found.  It is done again from these until the residual of each
+    part's leading pair is below ``TOLERANCE`` of its value (or of the mean degree, where that is larger); what does not
+    get there in ``_MOST_CYCLES`` cycles raises.  x is zero in parts without edges.
+    """
     from ..functions.rng import uniform
+    from ..functions.vectors import scaled, vector_sums
+    from ..plans import scratch
+
+    spark = members.sparkSession
+    scratch.ship(spark)
+    # a self-loop counts two in a degree
+    d = arcs.groupBy(F.col("node").alias("node_id")).agg(F.sum(F.when(F.col("node") == F.col("nbr"), 2.0).otherwise(1.0)).alias("degree"))
+    start = F.array(*[uniform(seed, f"krylov{i}", "node_id") - 0.5 for i in range(_VECTORS)])
+    state = scratch.materialise(members.join(d, "node_id", "left").select("part", "node_id", F.coalesce("degree", F.lit(0.0)).alias("degree"), start.alias("x")), "krylov")
+    # one row for each part, and a part has ``cap`` nodes at least
+    totals = [tuple(r) for r in state.groupBy("part").agg(F.sum("degree"), F.avg("degree")).collect()]
+    mean = {p: m for p, _, m in totals}
+    totals = F.broadcast(spark.createDataFrame(totals, "part int, m2 double, mean double").drop("mean"))
+    width = _VECTORS * (_STEPS + 1)
+
+    def products(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part").to_numpy()
+            rows = batch.column("basis").flatten().to_numpy().reshape(-1, width)
+            for p in np.unique(part):
+                own = rows[part == p]
+                sums[p] = sums.get(p, 0) + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel().tolist() for g in sums.values()], pa.list_(pa.float64()))], names=["part", "gram"])
+
+    for _ in range(_MOST_CYCLES):
+        basis = state.withColumn("basis", F.col("x"))
+        for step in range(_STEPS):
+            through = vector_sums(arcs.join(basis.select(F.col("node_id").alias("nbr"), "x"), "nbr").withColumnRenamed("node", "node_id"), ["node_id"], "x", _VECTORS).withColumnRenamed("x", "_ax")
+            pull = F.broadcast(vector_sums(basis, ["part"], "x", _VECTORS, F.col("degree")).withColumnRenamed("x", "_kx"))
+            joined = basis.join(through, "node_id", "left").join(pull, "part").join(totals, "part")
+            less = scaled(F.col("_kx"), F.col("degree") / F.greatest("m2", F.lit(1.0)))
+            zero = F.array(*[F.lit(0.0)] * _VECTORS)
+            moved = joined.withColumn("x", F.zip_with(F.coalesce("_ax", zero), less, lambda a, b: a - b)).select("part", "node_id", "degree", "x", "basis")
+            following = scratch.materialise(moved.withColumn("basis", F.concat("basis", "x")), "krylov")
+            scratch.drop(basis)
+            basis = following
+        grams = vector_sums(basis.select("part", "basis").mapInArrow(products, "part int, gram array<double>"), ["part"], "gram", width * width).collect()
+        found = {r["part"]: _ritz(np.array(r["gram"]).reshape(width, width), _VECTORS) for r in grams}
+        sent = spark.sparkContext.broadcast({p: best for p, (best, _, _) in found.items()})
+
+        def combine(batches, sent=sent):
+            import pyarrow as pa
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                part = batch.column("part").to_numpy()
+                rows = batch.column("basis").flatten().to_numpy().reshape(-1, width)
+                out = np.zeros((len(part), _VECTORS))
+                for p in np.unique(part):
+                    best = sent.value[int(p)]
+                    out[part == p] = rows[part == p, : len(best)] @ best
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(out), pa.list_(pa.float64()))], names=["part", "node_id", "degree", "x"])
+
+        state = scratch.materialise(basis.select("part", "node_id", "degree", "basis").mapInArrow(combine, state.select("part", "node_id", "degree", "x").schema), "krylov")
+        scratch.drop(basis)
+        if all(residual <= TOLERANCE * max(abs(top), mean[p]) for p, (_, top, residual) in found.items()):
+            return state.select("part", "node_id", F.get("x", F.lit(0)).alias("x"))
+    raise RuntimeError(f"leading eigenvectors did not converge: residuals {[(p, top, r) for p, (_, top, r) in found.items()]}")
+
+
+def _krylov_clusters(edges: DataFrame, cap: float) -> DataFrame:
+    """(cluster, node_id): every level splits all its parts by the same jobs; clusters are numbered by their least node."""
     from ..plans import scratch
-    from .graph import adjacency, degrees
-
-    adj, d = adjacency(edges), degrees(edges)
-    m2 = float(d.agg(F.sum("degree")).first()[0] or 1)
-    top = float(d.agg(F.max("degree")).first()[0] or 1)
-    x = scratch.materialise(d.select("node_id", "degree", (uniform(7, "power", "node_id") - 0.5).alias("x")), "power")
-    for _ in range(rounds):
-        kx = x.agg(F.sum(F.col("degree") * F.col("x"))).first()[0] or 0.0
-        ax = adj.join(x.select(F.col("node_id").alias("nbr"), "x"), "nbr").groupBy(F.col("node").alias("node_id")).agg(F.sum("x").alias("ax"))
-        y = x.join(ax, "node_id", "left").select("node_id", "degree", (F.coalesce("ax", F.lit(0.0)) - F.col("degree") * (kx / m2) + F.col("x") * top).alias("x"))
-        norm = float(y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0)
-        x = scratch.materialise(y.withColumn("x", F.col("x") / norm), "power")
-    return x.select((F.col("x") > 0).cast("int").alias("cluster"), "node_id")
+    from .graph import adjacency, end_points
+
+    parts = scratch.materialise(end_points(edges).select(F.lit(0).alias("part"), "node_id"), "parts")
+    if parts.count() < cap:
+        return parts.select(F.col("part").alias("cluster"), "node_id").limit(0)
+    adj, done, made = scratch.materialise(adjacency(edges), "arcs"), None, 1
+    while True:
+        ends = (parts.select(F.col("node_id").alias(c), F.col("part").alias(f"_{c}")) for c in ("node", "nbr"))
+        inside = adj
+        for end, c in zip(ends, ("node", "nbr"), strict=True):
+            inside = inside.join(end, c)
+        arcs = scratch.materialise(inside.where("_node = _nbr").select("node", "nbr"), "inside")
+        halves = scratch.materialise(leading_vectors(parts, arcs).select("part", (F.col("x") > 0).cast("int").alias("half"), "node_id"), "halves")
+        # two rows for each part, and a part has ``cap`` nodes at least
+        sizes: dict = {}
+        for p, half, n in halves.groupBy("part", "half").agg(F.count("*")).collect():
+            sizes.setdefault(p, {})[half] = n
+        split = [p for p, s in sorted(sizes.items()) if len(s) == 2 and min(s.values()) >= cap]
+        left = [p for p in sizes if p not in split]
+        if left:
+            whole = halves.where(F.col("part").isin(left)).select("part", "node_id")
+            done = whole if done is None else done.unionByName(whole)
+        if not split:
+            break
+        rows = [(p, half, made + 2 * i + half) for i, p in enumerate(split) for half in (0, 1)]
+        made += 2 * len(split)
+        names = F.broadcast(edges.sparkSession.createDataFrame(rows, "part int, half int, next int"))
+        parts = scratch.materialise(halves.join(names, ["part", "half"]).select(F.col("next").alias("part"), "node_id"), "parts")
+    done = scratch.materialise(done, "clusters")
+    first = done.groupBy("part").agg(F.min("node_id").alias("least"))
+    # a row for each cluster
+    order = {p: i for i, (p, _) in enumerate(sorted(first.collect(), key=lambda r: r["least"]))}
+    names = F.broadcast(edges.sparkSession.createDataFrame(list(order.items()), "part int, cluster int"))
+    return done.join(names, "part").select("cluster", "node_id")
+
+
+def power_bisection(edges: DataFrame) -> DataFrame:
+    """(cluster, node_id): signs of the leading modularity eigenvector by block Krylov iteration on sparse joins, at any size; the least node is in cluster 0."""
+    from ..plans import scratch
+    from .graph import adjacency, end_points
+
+    members = scratch.materialise(end_points(edges).select(F.lit(0).alias("part"), "node_id"), "part")
+    x = scratch.materialise(leading_vectors(members, scratch.materialise(adjacency(edges), "arcs")), "leading")
+    least = x.agg(F.min_by(F.col("x") > 0, "node_id").alias("_first"))
+    return x.crossJoin(F.broadcast(least)).select(((F.col("x") > 0) != F.col("_first")).cast("int").alias("cluster"), "node_id")
 
 
 def kmeans_clusters(features: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, list]:

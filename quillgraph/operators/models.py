@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import vector_sums, width_of
 from ..plans import scratch
 from .graph import RelGraph
 from .networks import sampled_means, simple_convolution
@@ -83,8 +84,8 @@ def collective(g: RelGraph, train: DataFrame, test: DataFrame, kind: str = "coun
 
     A content model labels all nodes; with the observed labels on top the relational model is
     fitted on features and neighbour labels; then the test nodes are predicted again and again.
-    'parallel' updates all of them at once in each round; 'exact' updates them one after the
-    other in order of id, in one task, and is bounded to ``MOST_EXACT`` nodes.
+    'parallel' updates all of them at once in each round; 'exact' gives what updating them one after the
+    other in order of id gives, by dependency levels, at any size.
     ``semi_supervised`` False fits the relational model on observed labels alone.
     """
     classes = g.classes()
@@ -105,47 +106,107 @@ def collective(g: RelGraph, train: DataFrame, test: DataFrame, kind: str = "coun
     return current.select("node_id", F.col("label").alias("pred")).join(target, "node_id", "left_semi").join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 
-MOST_EXACT = 20_000
+def update_levels(arcs: DataFrame, target: DataFrame) -> DataFrame:
+    """(node_id, level): 0 without a smaller neighbour in ``target``, else one more than the highest of these.
+
+    ``arcs``: (node, nbr) of target nodes, both ways.  Nodes of one level are not adjacent, and in an update in order of id
+    each sees its smaller neighbours updated and its larger ones not yet, so a level can be updated at once.
+    """
+    down = scratch.materialise(arcs.where("nbr < node").select("node", F.col("nbr").alias("small")), "smaller")
+    left = scratch.materialise(target.select("node_id"), "unlevelled")
+    done: list[DataFrame] = []
+    while not left.isEmpty():
+        held = down.join(left.select(F.col("node_id").alias("small")), "small", "left_semi").select(F.col("node").alias("node_id")).distinct()
+        ready = scratch.materialise(left.join(held, "node_id", "left_anti").withColumn("level", F.lit(len(done))), "level")
+        following = scratch.materialise(left.join(held, "node_id", "left_semi"), "unlevelled")
+        scratch.drop(left)
+        left = following
+        done.append(ready)
+    return scratch.stacked(done) if done else target.select("node_id", F.lit(0).alias("level"))
 
 
 def _in_order(g: RelGraph, rc, current: DataFrame, target: DataFrame, names: list[str], kind: str, attributes: bool, rounds: int) -> DataFrame:
-    """One node at a time with immediate update; everything that takes part comes to one place, so its size is checked."""
-    n = target.count()
-    if n > MOST_EXACT:
-        raise ValueError(f"{n} test nodes; the exact order takes {MOST_EXACT} at most, use mode='parallel'")
-    label = dict(current.collect())
-    adj: dict = {}
-    for node, nbr in g.adj.join(target.withColumnRenamed("node_id", "node"), "node", "left_semi").collect():
-        adj.setdefault(node, []).append(nbr)
-    x = dict(g.features.join(target, "node_id", "left_semi").select("node_id", "features").collect()) if attributes else {}
+    """As if one node were updated after the other in order of id, in so many rounds; nodes of a dependency level are updated together.
+
+    A level is updated again only if the labels next to it have changed since, and a round without a
+    change is the last; neither alters the result.  There are as many levels as the longest
+    path of ascending ids has nodes.
+    """
+    from .networks import _apply
+
+    spark, size = g.nodes.sparkSession, len(names)
+    of = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
+    inner = g.adj.join(target.select(F.col("node_id").alias("node")), "node", "left_semi").where("node <> nbr")
+    inside = scratch.materialise(inner.join(target.select(F.col("node_id").alias("nbr")), "nbr", "left_semi").select("node", "nbr"), "inside")
+    levels = scratch.materialise(update_levels(inside, target), "levels")
+    # a self-loop's end is the node itself, so all arcs of target nodes take part
+    arcs = scratch.materialise(g.adj.join(levels.select(F.col("node_id").alias("node"), "level"), "node").select("node", "nbr", "level"), "arcs", ["level"])
     w, b = rc.coefficientMatrix.toArray(), np.array(rc.interceptVector.toArray())
-    at = {c: i for i, c in enumerate(names)}
-    todo = sorted(r[0] for r in target.collect())
+    features = g.features if attributes else g.nodes.select("node_id", F.array().cast("array<double>").alias("features"))
+    rows = levels.join(features, "node_id").select("node_id", "level", "features")
+    known = w.shape[1] - size
+    base = _apply(rows, ["features"], lambda x: x.reshape(len(x), known) @ w[:, :known].T + b, "base", "array<double>") if known else rows.select("node_id", F.array(*map(F.lit, b.tolist())).alias("base"))
+    base = scratch.materialise(base.join(levels, "node_id"), "base", ["level"])
+    # labels of each level in a table of its own, so an update writes that level alone
+    labels = scratch.materialise(current.join(levels, "node_id", "left").select("node_id", F.element_at(of, F.col("label")).alias("c"), F.coalesce("level", F.lit(-1)).alias("level")), "labels", ["level"])
+    n = levels.agg(F.max("level")).first()[0]
+    if n is None:
+        return g.nodes.limit(0).select("node_id", "label", F.col("label").alias("pred"))
+    # pairs of levels with an arc between them
+    low, high = (levels.select(F.col("node_id").alias(c), F.col("level").alias(f"_{c}")) for c in ("node", "nbr"))
+    beside: dict = {}
+    for a, other in inside.join(low, "node").join(high, "nbr").select("_node", "_nbr").distinct().collect():
+        beside.setdefault(a, set()).add(other)
+    loops = {r[0] for r in arcs.where("node = nbr").select("level").distinct().collect()}
+    tables: dict = {}
+
+    def all_labels() -> DataFrame:
+        out = labels.select("node_id", "c")
+        if tables:
+            out = labels.where(~F.col("level").isin(list(tables))).select("node_id", "c").unionByName(scratch.stacked(list(tables.values())).select("node_id", "c"))
+        return out.withColumnRenamed("node_id", "nbr")
+
+    stale = set(range(n + 1))
     for _ in range(rounds):
-        for v in todo:
-            agg = np.zeros(len(names))
-            for u in adj.get(v, ()):
-                if u in label:
-                    agg[at[label[u]]] += 1
-            if kind == "prop" and agg.sum():
-                agg = agg / agg.sum()
-            if kind == "exist":
-                agg = np.minimum(agg, 1)
-            row = np.r_[np.array(x[v]), agg] if attributes else agg
-            label[v] = names[int(np.argmax(w @ row + b))]
-    rows = [(v, label[v]) for v in todo]
-    kind_ = g.nodes.schema["node_id"].dataType.simpleString()
-    return g.nodes.sparkSession.createDataFrame(rows, f"node_id {kind_}, pred string").join(g.nodes, "node_id").select("node_id", "label", "pred")
+        changed = False
+        for level in range(n + 1):
+            if level not in stale:
+                continue
+            stale.discard(level)
+            near = arcs.where(F.col("level") == level).join(all_labels().where("c is not null"), "nbr")
+            counted = near.groupBy(F.col("node").alias("node_id"), "c").agg(F.count("*").cast("double").alias("n"))
+            total = F.aggregate("cs", F.lit(0.0), lambda s, x: s + x["n"])
+            share = {"count": lambda x: x["n"], "prop": lambda x: x["n"] / total, "exist": lambda x: F.lit(1.0)}[kind]
+            # a row for each class at most
+            gathered = counted.groupBy("node_id").agg(F.collect_list(F.struct("c", "n")).alias("cs"))
+            position = F.map_from_entries(F.transform("cs", lambda x: F.struct(x["c"], share(x))))
+            vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+            agg = gathered.withColumn("_m", position).select("node_id", vector.alias("agg"))
+            none = F.array(*[F.lit(0.0)] * size)
+            old = (tables[level] if level in tables else labels.where(F.col("level") == level)).select("node_id", F.col("c").alias("old"))
+            todo = base.where(F.col("level") == level).select("node_id", "base").join(agg, "node_id", "left").select("node_id", "base", F.coalesce("agg", none).alias("agg"))
+            new = _apply(todo, ["base", "agg"], lambda x, y: (x + y @ w[:, known:].T).argmax(axis=1).astype(np.int32), "c", "int").join(old, "node_id", "left")
+            written = scratch.materialise(new.select("node_id", "c", (~F.col("c").eqNullSafe(F.col("old"))).alias("changed")), "updated")
+            if level in tables:
+                scratch.drop(tables[level])
+            tables[level] = written
+            if not written.where("changed").isEmpty():
+                changed = True
+                stale |= beside.get(level, set()) | ({level} if level in loops else set())
+        if not changed:
+            break
+    pred = scratch.stacked(list(tables.values())).select("node_id", "c")
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("c") + 1)
+    return pred.select("node_id", named.alias("pred")).join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 
 def mean_layers(g: RelGraph, samples: tuple[int, ...] = (10, 5), seed: int = 0) -> DataFrame:
     """(node_id, x): the features, and their means over sampled neighbours, once for each layer."""
     out = current = g.features.select("node_id", F.col("features").alias("x"))
+    width = width_of(g.features)
     for layer, cap in enumerate(samples):
-        near = sampled_neighbours(g.adj, cap, seed + layer)
-        long = near.join(current.select(F.col("node_id").alias("nbr"), F.posexplode("x").alias("pos", "value")), "nbr")
-        mean = long.groupBy(F.col("node").alias("node_id"), "pos").agg(F.avg("value").alias("value"))
-        current = mean.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("x"))
+        near = sampled_neighbours(g.adj, cap, seed + layer).join(current.withColumnRenamed("node_id", "nbr"), "nbr")
+        current = vector_sums(near.withColumnRenamed("node", "node_id"), ["node_id"], "x", width, mean=True)
         out = out.join(current.withColumnRenamed("x", "_m"), "node_id").select("node_id", F.concat("x", "_m").alias("x"))
     return out
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import back_to_arrays, columns_long
+from ..functions.vectors import vector_sums, width_of
 from ..plans import scratch
 from .graph import RelGraph, drop_isolates
 from .propagate import propagate
@@ -146,8 +146,8 @@ def simple_convolution(g: RelGraph, train: DataFrame, test: DataFrame, hops: int
 
 def neighbour_means(near: DataFrame, x: DataFrame, column: str) -> DataFrame:
     """(node_id, m): the mean of a vector over each node's neighbours in ``near`` (node, nbr)."""
-    long = near.join(columns_long(x.withColumnRenamed("node_id", "nbr"), "nbr", column), "nbr")
-    return back_to_arrays(long.groupBy(F.col("node").alias("node_id"), "pos").agg(F.avg("value").alias("value")), "node_id", "m")
+    joined = near.join(x.select(F.col("node_id").alias("nbr"), F.col(column).alias("m")), "nbr")
+    return vector_sums(joined.withColumnRenamed("node", "node_id"), ["node_id"], "m", width_of(x, column), mean=True)
 
 
 def sampled_means(g: RelGraph, train: DataFrame, test: DataFrame, samples: tuple[int, int] = (10, 5), hidden: int = 32, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, seed: int = 0) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Feature propagation over edges, as joins and sums."""
+"""Feature propagation over edges, as joins and sums of vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import back_to_arrays, columns_long
+from ..functions.vectors import scaled, vector_sums, width_of
 from .graph import adjacency
 
 
@@ -24,19 +24,40 @@ def weights(edges: DataFrame, nodes: DataFrame, norm: str = "squared") -> DataFr
     'squared': (1 + d_i)(1 + d_j) (A + I)_ij^2, d the row sums of A and a self-loop giving 2 on the
     diagonal; 'sym': (A + I)_ij / sqrt((1 + d_i)(1 + d_j)), the usual symmetric normalisation.
     """
-    loops = nodes.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(1.0).alias("w"))
-    both = coo(edges).unionByName(loops).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    d = nodes.select(F.col("node_id").alias("node")).join(row_sums(edges), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) + 1).alias("d"))
-    joined = both.join(d.select(F.col("node").alias("i"), F.col("d").alias("di")), "i").join(d.select(F.col("node").alias("j"), F.col("d").alias("dj")), "j")
-    value = F.col("di") * F.col("dj") * F.col("w") * F.col("w") if norm == "squared" else F.col("w") / F.sqrt(F.col("di") * F.col("dj"))
-    return joined.select("i", "j", value.alias("w"))
+    side = nodes.select(F.col("node_id").alias("i")).join(_sides(edges, nodes, norm).withColumnRenamed("node_id", "i"), "i")
+    arcs = arc_weights(edges, nodes, norm)
+    joined = arcs.join(side, "i").join(side.select(F.col("i").alias("j"), F.col("side").alias("other")), "j")
+    return joined.select("i", "j", (F.col("w") * F.col("side") * F.col("other")).alias("w"))
+
+
+def _sides(edges: DataFrame, nodes: DataFrame, norm: str) -> DataFrame:
+    """(node_id, side): the factor of a node's row and column."""
+    d = nodes.select("node_id").join(row_sums(edges).withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", (F.coalesce("d", F.lit(0.0)) + 1).alias("d"))
+    return d.select("node_id", (F.col("d") if norm == "squared" else 1 / F.sqrt("d")).alias("side"))
+
+
+def arc_weights(edges: DataFrame, nodes: DataFrame, norm: str) -> DataFrame:
+    """(i, j, w) of A + I, its elements squared for 'squared'; an element for each pair, so nothing has to be added up."""
+    power = 2.0 if norm == "squared" else 1.0
+    loops = edges.where("u = v").select(F.col("u").alias("i"), F.lit(1.0).alias("own"))
+    diagonal = nodes.select(F.col("node_id").alias("i")).join(loops, "i", "left").select("i", F.col("i").alias("j"), F.pow(1 + F.coalesce("own", F.lit(0.0)), F.lit(power)).alias("w"))
+    return coo(edges.where("u <> v")).unionByName(diagonal)
 
 
 def propagate(features: DataFrame, edges: DataFrame, norm: str = "squared", hops: int = 1) -> DataFrame:
-    """(node_id, features) after ``hops`` multiplications by the matrix; summed element by element."""
-    w = weights(edges, features, norm)
-    current = columns_long(features, "node_id", "features")
-    for _ in range(hops):
-        joined = w.join(current.withColumnRenamed("node_id", "j"), "j")
-        current = joined.groupBy(F.col("i").alias("node_id"), "pos").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    return back_to_arrays(current, "node_id")
+    """(node_id, features) after ``hops`` multiplications by the matrix.
+
+    The factors of rows and columns are applied to the vectors, so a hop is one join of arcs with vectors and one sum of
+    vectors: what is shuffled is a vector for each node on the way in and for each node and task on the way out.
+    Arcs of a node without features bring nothing.
+    """
+    width = width_of(features)
+    side = _sides(edges, features, norm)
+    arcs = arc_weights(edges, features, norm)
+    current = features.select("node_id", "features").join(side, "node_id")
+    for hop in range(hops):
+        sent = current.select(F.col("node_id").alias("j"), scaled(F.col("features"), F.col("side")).alias("features"))
+        near = arcs.join(sent, "j").select(F.col("i").alias("node_id"), "w", "features")
+        summed = vector_sums(near, ["node_id"], "features", width, F.col("w")).join(side, "node_id")
+        current = summed.withColumn("features", scaled(F.col("features"), F.col("side")))
+    return current.select("node_id", "features")

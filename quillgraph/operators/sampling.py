@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import sort_key, uniform
-from ..functions.vectors import distance
 from ..plans import scratch
+from . import metric
 from .community import kmeans_clusters, modularity_clusters
 from .graph import RelGraph, adjacency, degrees, induced
 from .propagate import propagate
@@ -138,31 +139,31 @@ def by_kmeans(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int = 8
     return round_robin(members.select("cluster", "node_id"), size, seed)
 
 
-def nearest_unused(points: DataFrame, centres: list[list[float]], block: int = 64) -> DataFrame:
+def nearest_unused(points: DataFrame, centres: list[list[float]], k: int = 8) -> DataFrame:
     """(node_id, ord): for each centre in order the nearest point not yet taken, of equal ones the least id.
 
-    A centre can lose at most as many points as there are centres before it, so the nearest
-    ``len(centres)`` points of each decide; they are found in blocks of centres and bounded.
+    The centres (a labelling budget of them) get their ``k`` nearest points from a metric index.  Proposals
+    are settled in the order of the centres; where all of a centre's points are taken, it and those after it
+    search again among what is left.  Centres beyond the number of points get none.
     """
     spark = points.sparkSession
-    n = len(centres)
-    near: dict[int, list] = {}
-    for b in range(0, n, block):
-        table = spark.createDataFrame([(i, c) for i, c in enumerate(centres[b : b + block], b)], "c int, centre array<double>")
-        # at most ``block`` centres, a stated query set
-        pairs = points.crossJoin(F.broadcast(table)).select("c", "node_id", distance("features", "centre").alias("d"))
-        # the nearest of each share of the points first, so no task ranks them all; centre c can lose c points at most
-        shares = pairs.withColumn("_s", F.pmod(F.xxhash64("node_id"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("c", "_s").orderBy("d", "node_id"))).where(F.col("_r") <= F.col("c") + 1)
-        kept = shares.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("d", "node_id"))).where(F.col("_r") <= F.col("c") + 1)
-        for r in kept.orderBy("c", "_r").select("c", "node_id").collect():
-            near.setdefault(r["c"], []).append(r["node_id"])
-    taken: dict = {}
-    for c in range(n):
-        pick = next((x for x in near.get(c, []) if x not in taken), None)
-        if pick is not None:
-            taken[pick] = None
     kind = points.schema["node_id"].dataType.simpleString()
-    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(taken)], f"node_id {kind}, ord int")
+    index, queries = metric.build(points), np.array(centres, float).reshape(len(centres), -1)
+    taken: dict = {}
+    picks, at = [], 0
+    while at < len(centres):
+        rest = index if not taken else index.without(spark.createDataFrame([(x,) for x in taken], f"node_id {kind}"))
+        if not rest.cells:
+            break
+        for near in metric.nearest(rest, queries[at:], k):
+            pick = next((x for _, x in near if x not in taken), None)
+            if pick is None and len(near) == k:
+                break
+            if pick is not None:
+                taken[pick] = None
+                picks.append((pick, len(picks) + 1))
+            at += 1
+    return spark.createDataFrame(picks, f"node_id {kind}, ord int")
 
 
 @sampler("fp")
@@ -175,33 +176,78 @@ def by_propagation(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, norm:
     return nearest_unused(points.select("node_id", "features"), centres)
 
 
-def _colour_picks(edges: DataFrame, pool: DataFrame, draws: DataFrame, nhops: int, seed: int) -> DataFrame:
-    """(ego, pick): the node of least colour in each draw's neighbourhood inside the pool; the draw itself if it has none."""
+def _colour_picks(edges: DataFrame, pool: DataFrame, draws: DataFrame, nhops: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """((turn, ego, pick), (turn, node)): the node of least colour in each draw's neighbourhood inside the pool, the draw itself if it has none; and who is there.
+
+    ``draws``: (turn, node_id); where a neighbourhood has no edges its pick is the first by a hash of seed plus turn.
+    """
     inside = induced(edges, pool)
-    members, inner = egos(inside, draws, nhops)
+    drawn = scratch.materialise(draws.select("turn", F.col("node_id").alias("ego")), "draws")
+    members, inner = egos(inside, drawn.select(F.col("ego").alias("node_id")).distinct(), nhops)
     members, inner = scratch.materialise(members, "ego-nodes"), scratch.materialise(inner, "ego-edges")
     coloured = refine_colours(members, inner)
     has = inner.select("ego").distinct().withColumn("_e", F.lit(True))
-    least = coloured.groupBy("ego").agg(F.min(F.struct("colour", "node"))["node"].alias("first"), F.min(F.struct(sort_key(seed, "wls", "ego", "node"), "node"))["node"].alias("any"))
-    picked = least.join(has, "ego", "left").select("ego", F.when(F.col("_e"), F.col("first")).otherwise(F.col("any")).alias("pick"))
-    return draws.select(F.col("node_id").alias("ego")).join(picked, "ego", "left").select("ego", F.coalesce("pick", "ego").alias("pick"))
+    any_key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("turn")).cast("string"), F.lit("wls"), F.col("ego").cast("string"), F.col("node").cast("string")))
+    least = coloured.join(drawn, "ego").groupBy("turn", "ego").agg(F.min(F.struct("colour", "node"))["node"].alias("first"), F.min(F.struct(any_key, "node"))["node"].alias("any"))
+    picked = least.join(has, "ego", "left").select("turn", "ego", F.when(F.col("_e"), F.col("first")).otherwise(F.col("any")).alias("pick"))
+    around = members.join(drawn, "ego").select("turn", "node").unionByName(drawn.select("turn", F.col("ego").alias("node"))).distinct()
+    return drawn.join(picked, ["turn", "ego"], "left").select("turn", "ego", F.coalesce("pick", "ego").alias("pick")), around
+
+
+def _draws(left: DataFrame, turns: list[int], seed: int) -> DataFrame:
+    """(turn, node_id): the first of ``left`` in the random order of each turn; ``turns`` are a stated set, a minimum for each."""
+    each = F.explode(F.array(*[F.lit(t) for t in turns]))
+    key = F.md5(F.concat_ws(":", (F.lit(seed * 1000) + F.col("turn")).cast("string"), F.lit("rs"), F.col("node_id").cast("string")))
+    return left.select("node_id", each.alias("turn")).groupBy("turn").agg(F.min(F.struct(key.alias("k"), "node_id"))["node_id"].alias("node_id"))
+
+
+def _colours_in_order(g: RelGraph, size: int, pool: DataFrame, seed: int, nhops: int, most: int = 256) -> DataFrame:
+    """(node_id, ord): one draw after the other, each from what the picks before left, by optimistic rounds.
+
+    The draws of many turns are coloured at once on one frozen pool; turns are committed in order up to the
+    first whose neighbourhood holds an earlier pick of the round, as nothing else that a turn sees depends
+    on what was picked before.  The first always stands, the rest are drawn again; rounds that stand are followed by larger ones.
+    """
+    left = scratch.materialise(pool.select("node_id"), "pool")
+    done, turn, batch = [], 0, 32
+    while turn < size:
+        turns = list(range(turn, min(size, turn + batch)))
+        picks, around = _colour_picks(g.edges, left, _draws(left, turns, seed), nhops, seed)
+        picks, around = scratch.materialise(picks, "picks"), scratch.materialise(around, "around")
+        earlier = picks.select(F.col("pick").alias("node"), F.col("turn").alias("_before"))
+        bad = around.join(earlier, "node").where("_before < turn").agg(F.min("turn")).first()[0]
+        kept = picks if bad is None else picks.where(F.col("turn") < bad)
+        kept = scratch.materialise(kept.select(F.col("pick").alias("node_id"), (F.col("turn") + 1).alias("ord")), "kept")
+        n = kept.count()
+        if not n:
+            break
+        done.append(kept)
+        following = scratch.materialise(left.join(kept, "node_id", "left_anti"), "pool")
+        scratch.drop(left, picks, around)
+        left, turn = following, turn + n
+        batch = min(most, 2 * batch) if bad is None else max(8, n)
+        if left.isEmpty():
+            break
+    return scratch.stacked(done) if done else pool.select("node_id", F.lit(1).alias("ord")).limit(0)
 
 
 def by_colour(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int = 8, nhops: int = 2, mode: str = "parallel") -> DataFrame:
     """Structural roles: random pool nodes are drawn, each gives the node of least refined colour around it.
 
-    'exact' takes one draw at a time and re-induces the pool's graph after each pick; 'parallel'
-    takes ``k`` draws on one frozen pool, keeps different picks, and goes on until there are enough.
+    'exact' gives what taking one draw at a time and re-inducing the pool's graph after each pick gives, in a few rounds;
+    'parallel' takes ``k`` draws on one frozen pool, keeps different picks, and goes on until there are enough.
     """
-    step = 1 if mode == "exact" else k
+    if mode == "exact":
+        return _colours_in_order(g, size, pool, seed, nhops)
     left, got, n, turn = pool.select("node_id"), None, 0, 0
     while n < size:
-        draws = random_nodes(g, step, left, seed * 1000 + turn)
-        picks = scratch.materialise(_colour_picks(g.edges, left, draws, nhops, seed + turn).join(draws.select(F.col("node_id").alias("ego"), "ord"), "ego").groupBy(F.col("pick").alias("node_id")).agg(F.min("ord").alias("ord")), "picks")
+        draws = random_nodes(g, k, left, seed * 1000 + turn)
+        found, _ = _colour_picks(g.edges, left, draws.select("node_id", F.lit(turn).alias("turn"), "ord"), nhops, seed)
+        picks = scratch.materialise(found.join(draws.select(F.col("node_id").alias("ego"), "ord"), "ego").groupBy(F.col("pick").alias("node_id")).agg(F.min("ord").alias("ord")), "picks")
         new = picks.count()
         if not new:
             break
-        numbered = picks.select("node_id", (F.col("ord") + F.lit(turn * step)).alias("ord"))
+        numbered = picks.select("node_id", (F.col("ord") + F.lit(turn * k)).alias("ord"))
         got = numbered if got is None else got.unionByName(numbered)
         left = scratch.materialise(left.join(picks, "node_id", "left_anti"), "pool")
         n, turn = n + new, turn + 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import min_max
 from ..operators.graph import RelGraph, build
+from . import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,11 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> RelGraph:
     return build(nodes, edges, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("features")))
 
 
+def written(g: RelGraph) -> RelGraph:
+    """The graph as scratch tables, so that what uses it often doesn't derive it each time."""
+    return RelGraph(scratch.materialise(g.nodes, "nodes"), scratch.materialise(g.edges, "graph"), None if g.features is None else scratch.materialise(g.features, "features"))
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(algo, trial, budget, f1) from events."""
     e = table(spark, sf_dir, "events")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import accuracy, label_entropy, micro_f1
+from ..functions.metrics import accuracy, micro_f1
 from ..functions.rng import sort_key, sql_key, sql_uniform, uniform
 from ..functions.vectors import columns_long, distance, min_max, principal_components
 from ..operators import community, models, propagate, relational, sampling, structure
 from ..operators.graph import RelGraph, class_index, components, counts, degrees, endpoint_filter, homophily, induced, largest_component, undirected
 from ..sources import tables
 from . import experiment, scratch
-from .fixtures import F1, F2, TRIALS, co_order, co_order_edges, table, trials, vector_graph
+from .fixtures import F1, F2, TRIALS, co_order, co_order_edges, table, trials, vector_graph, written
 from .registry import query
 from .synth import planted_graph
 
@@ -250,8 +250,10 @@ x AS (SELECT node_id, n / CAST(sum(n) OVER (PARTITION BY node_id) AS DOUBLE) AS
 @query("label_entropy", f"WITH {F1}, {_ENTROPY} SELECT node_id, round(CASE WHEN max(k) <= 1 THEN 0.0 ELSE -sum(p * ln(p)) / ln(max(k)) END, 6) AS entropy FROM x GROUP BY 1")
 def label_entropy_query(spark: SparkSession, d: str) -> DataFrame:
     g = co_order(spark, d)
-    near = g.adj.join(g.nodes.select(F.col("node_id").alias("nbr"), "label"), "nbr").groupBy(F.col("node").alias("node_id")).agg(F.collect_list("label").alias("labels"))
-    return near.select("node_id", F.round(label_entropy(F.col("labels")), 6).alias("entropy"))
+    # counted by node and label first: a hub brings a row for each class, not one for each neighbour
+    near = g.adj.join(g.nodes.select(F.col("node_id").alias("nbr"), "label"), "nbr").groupBy(F.col("node").alias("node_id"), "label").agg(F.count("*").alias("n"))
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    return near.groupBy("node_id").agg(F.round(F.when(F.count("*") <= 1, 0.0).otherwise(entropy / F.log(F.count("*"))), 6).alias("entropy"))
 
 
 _MEMBERS = f"""{F1}, {SPLIT}, q AS (SELECT node_id, CAST(node_id % 8 AS INT) AS cluster, CASE WHEN is_train AND {sql_uniform(SEED, 'seen', 'node_id')} < 0.2 THEN label END AS label, label AS co,
@@ -401,7 +403,7 @@ def _long(features: DataFrame, digits: int = 4) -> DataFrame:
 
 @query("feature_propagation", f"WITH {F2}, {_W}, {_EMB} SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(di.d * dj.d * w * w * value), 4) + 0.0 AS value FROM wt JOIN dg di ON di.node = i JOIN dg dj ON dj.node = j JOIN x ON x.node_id = j GROUP BY 1, 2")
 def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
-    g = vector_graph(spark, d)
+    g = written(vector_graph(spark, d))
     return _long(propagate.propagate(g.features, g.edges))
 
 
@@ -410,7 +412,7 @@ _SYM = "sw AS (SELECT i, j, w / sqrt(di.d * dj.d) AS w FROM wt JOIN dg di ON di.
 
 @query("sgc_propagation", f"WITH {F2}, {_W}, {_EMB}, {_SYM}, h AS (SELECT i AS node_id, pos, sum(w * value) AS value FROM sw JOIN x ON x.node_id = j GROUP BY 1, 2) SELECT i AS node_id, CAST(pos AS INT) AS pos, round(sum(w * value), 4) + 0.0 AS value FROM sw JOIN h ON h.node_id = j GROUP BY 1, 2")
 def sgc_propagation(spark: SparkSession, d: str) -> DataFrame:
-    g = vector_graph(spark, d)
+    g = written(vector_graph(spark, d))
     return _long(propagate.propagate(g.features, g.edges, "sym", 2))
 
 
@@ -556,7 +558,7 @@ def wl_one_round(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _small(spark: SparkSession, d: str) -> tuple[RelGraph, DataFrame, DataFrame]:
-    g = vector_graph(spark, d)
+    g = written(vector_graph(spark, d))
     split = scratch.materialise(sampling.stratified_split(g.nodes, 0.8, SEED), "split")
     return g, split.where("is_train"), split.where("not is_train")
 
@@ -595,13 +597,13 @@ def sample_wls_3(spark: SparkSession, d: str) -> DataFrame:
 @query("sample_modularity")
 def sample_modularity(spark: SparkSession, d: str) -> DataFrame:
     g, train, _ = _small(spark, d)
-    return sampling.select("ms", g, SIZE, train, SEED)
+    return sampling.select("ms", g, SIZE, train, SEED, mode="krylov")
 
 
 @query("modularity_clusters")
 def modularity_clusters(spark: SparkSession, d: str) -> DataFrame:
     g, _, _ = _small(spark, d)
-    return community.modularity_clusters(g.edges, 0.8 * g.nodes.count() / 8)
+    return community.modularity_clusters(g.edges, 0.8 * g.nodes.count() / 8, "krylov")
 
 
 @query("power_bisection")
@@ -688,7 +690,7 @@ def power_iteration(spark: SparkSession, d: str) -> DataFrame:
 @query("power_modularity_clusters")
 def power_modularity(spark: SparkSession, d: str) -> DataFrame:
     g = co_order(spark, d)
-    return community.modularity_clusters(g.edges, 0.8 * g.nodes.count() / 4, "power")
+    return community.modularity_clusters(g.edges, 0.8 * g.nodes.count() / 4, "krylov")
 
 
 @query("walks_with_retries")

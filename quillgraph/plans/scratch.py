@@ -68,15 +68,30 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the scratch table that ``df`` scans (as ``materialise`` returned it)."""
+def path_of(df: DataFrame) -> str | None:
+    """The path of the scratch table that ``df`` scans (as ``materialise`` returned it); None if it scans none that is left."""
     live = {p.split("://")[-1]: p for p in _LIVE}
     for file in df.inputFiles()[:1]:
         plain = file.split("://")[-1]
         for key, path in live.items():
             if plain.lstrip("/").startswith(key.lstrip("/") + "/"):
-                delete(df.sparkSession, path)
-                _LIVE.remove(path)
+                return path
+    return None
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the scratch tables that these scan."""
+    for df in tables:
+        path = path_of(df)
+        if path:
+            delete(df.sparkSession, path)
+            _LIVE.remove(path)
+
+
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """Several scratch tables of one schema as one scan, so a plan doesn't grow with their number."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[path_of(t) for t in tables])
 
 
 def live() -> list[str]:

@@ -10,7 +10,7 @@ from ..functions.vectors import argmax, columns_long, distance, gather, one_hot,
 from ..operators import models, propagate, relational, sampling
 from ..operators.graph import relabelled, touching
 from . import experiment, scratch
-from .fixtures import F1, F2, TRIALS, co_order, table, trials, vector_graph
+from .fixtures import F1, F2, TRIALS, co_order, table, trials, vector_graph, written
 from .registry import query
 
 SEED, SIZE = 7, 64
@@ -145,16 +145,16 @@ def other_classes(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = "c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) AS INT) AS i, embedding AS centre FROM embeddings ORDER BY vec_id LIMIT 12)"
 
 
-@query("nearest_unused", f"""WITH RECURSIVE x AS (SELECT vec_id AS node_id, embedding AS f FROM embeddings WHERE vec_id % 3 = 1), {_NEAR},
+@query("nearest_unused", f"""WITH RECURSIVE x AS (SELECT vec_id AS node_id, embedding AS f FROM embeddings), {_NEAR},
 dd AS (SELECT i, node_id, row_number() OVER (PARTITION BY i ORDER BY sqrt(list_sum(list_transform(list_zip(f, centre), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), node_id) AS r FROM x, c),
 k AS (SELECT i, list(node_id ORDER BY r) AS near FROM dd WHERE r <= 12 GROUP BY 1),
 w AS (SELECT 0 AS i, []::BIGINT[] AS taken UNION ALL SELECT k.i, list_append(taken, list_filter(near, lambda y: NOT list_contains(taken, y))[1]) FROM w JOIN k ON k.i = w.i + 1)
 SELECT unnest(taken) AS node_id, CAST(unnest(generate_series(1, len(taken))) AS INT) AS ord FROM w WHERE i = 12""")
 def nearest_unused(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve centres, a stated query set, each take the nearest vector of every third that none before has taken."""
+    """Twelve centres, a stated query set, each take the nearest of all vectors that none before has taken."""
     v = _vectors(spark, d)
     centres = [r[0] for r in v.orderBy("node_id").limit(12).select("features").collect()]
-    return sampling.nearest_unused(v.where("node_id % 3 = 1"), centres)
+    return sampling.nearest_unused(v, centres)
 
 
 @query("wl_picks", f"""WITH {F1}, {_SPLIT}, ie AS (SELECT node, nbr FROM a WHERE node IN (SELECT node_id FROM pool) AND nbr IN (SELECT node_id FROM pool)),
@@ -210,7 +210,7 @@ x AS (SELECT vec_id AS node_id, unnest(generate_series(0, len(embedding) - 1)) A
 SELECT node AS node_id, CAST(pos AS INT) AS pos, round(avg(value), 6) + 0.0 AS value FROM nb JOIN x ON x.node_id = nbr GROUP BY 1, 2""")
 def sampled_means(spark: SparkSession, d: str) -> DataFrame:
     """The mean over ten sampled neighbours, the first layer of the sampled-means model."""
-    g = vector_graph(spark, d)
+    g = written(vector_graph(spark, d))
     width = 64
     layers = models.mean_layers(g, (10,), SEED).select("node_id", F.slice("x", width + 1, width).alias("m"))
     return columns_long(layers, "node_id", "m").select("node_id", "pos", F.round("value", 6).alias("value"))
@@ -223,7 +223,7 @@ c0 AS (SELECT * FROM h WHERE node_id = (SELECT min(node_id) FROM h))
 SELECT h.node_id, round(sqrt(sum((h.value - c0.value) * (h.value - c0.value))), 5) AS d FROM h JOIN c0 ON c0.pos = h.pos GROUP BY 1""")
 def featprop_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances of propagated features to those of the first node, what the propagation sampler clusters by."""
-    g = vector_graph(spark, d)
+    g = written(vector_graph(spark, d))
     moved = scratch.materialise(propagate.propagate(g.features, g.edges, "sym"), "moved")
     first = moved.orderBy("node_id").limit(1).select(F.col("features").alias("centre"))
     return moved.crossJoin(F.broadcast(first)).select("node_id", F.round(distance("features", "centre"), 5).alias("d"))

@@ -214,13 +214,6 @@ def test_disagreement_sampler(small):
     assert got[:4] == seeds and len(set(got)) == len(got) == 10 and all(v % 4 for v in got)
 
 
-def test_exact_order_is_bounded(small, monkeypatch):
-    g, *_ = small
-    monkeypatch.setattr(models, "MOST_EXACT", 3)
-    with pytest.raises(ValueError, match="parallel"):
-        models.collective(g, g.nodes.where("node_id < 25"), g.nodes.where("node_id >= 25"), mode="exact")
-
-
 def test_dense_methods_are_bounded(small, monkeypatch):
     g, *_ = small
     monkeypatch.setattr(community, "MOST_NODES", 3)
