@@ -285,6 +285,133 @@ def medoids(features: DataFrame, edges: DataFrame, pool: DataFrame, k: int) -> D
     return features.sparkSession.createDataFrame(rows, f"node_id {features.schema['node_id'].dataType.simpleString()}, ord int")
 
 
+#: Random features of a thin kernel factor (half as many frequencies).
+FEATURES = 256
+
+
+def thin_kernel(features: DataFrame, edges: DataFrame, s: float = 1.0, gamma: float | None = None, count: int = FEATURES, seed: int = 0) -> DataFrame:
+    """(node_id, f): K, the kernel of ``relational_kernel``, is about the products of these vectors, at any number of rows.
+
+    The RBF kernel is the expected product of cosines and sines at random frequencies; each node's vector is the mean of those of its
+    neighbours, one join and one sum of vectors.  An entry of the RBF kernel is off by about 1 / sqrt(count / 2).  gamma,
+    if not given, is the median squared distance of scaled features (``metric.median_square``).  Nodes without neighbours that have features have zeros.
+    """
+    from ..functions.vectors import vector_sums, width_of
+    from ..plans import scratch
+    from . import metric
+    from .graph import adjacency
+
+    spark, width = features.sparkSession, width_of(features)
+    scratch.ship(spark)
+    rows = features.select("node_id", F.col("features").cast("array<double>").alias("features"))
+    if gamma is None:
+        gamma = metric.median_square(_standardised(rows, width)) if width else 0.0
+    frequencies = np.random.default_rng(seed).normal(size=(width, count // 2)) * np.sqrt(2 * gamma * s)
+    sent = spark.sparkContext.broadcast(frequencies)
+    kind = features.schema["node_id"].dataType.simpleString()
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                angle = metric.matrix(batch.column("features"), width) @ sent.value
+                z = np.hstack([np.cos(angle), np.sin(angle)]) / np.sqrt(sent.value.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(list(z), pa.list_(pa.float64()))], names=["nbr", "f"])
+
+    waves = rows.mapInArrow(work, f"nbr {kind}, f array<double>")
+    near = adjacency(edges).join(waves, "nbr").withColumnRenamed("node", "node_id")
+    mean = vector_sums(near, ["node_id"], "f", 2 * (count // 2), mean=True)
+    zero = F.array_repeat(F.lit(0.0), 2 * (count // 2))
+    return features.select("node_id").join(mean, "node_id", "left").select("node_id", F.coalesce("f", zero).alias("f"))
+
+
+def _standardised(rows: DataFrame, width: int) -> DataFrame:
+    """(node_id, features) less the mean over the population deviation of each position; constant positions stay as deviations from the mean."""
+    from ..functions.vectors import vector_sums
+
+    n = max(rows.count(), 1)
+    mean = np.array((vector_sums(rows.withColumn("_k", F.lit(0)), ["_k"], "features", width).first() or [0, []])["features"]) / n
+    centred = rows.withColumn("features", F.zip_with("features", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b))
+    squares = centred.select(F.lit(0).alias("_k"), F.transform("features", lambda x: x * x).alias("features"))
+    spread = np.sqrt(np.array(vector_sums(squares, ["_k"], "features", width).first()["features"]) / n)
+    return centred.withColumn("features", F.zip_with("features", F.array(*[F.lit(float(v) if v > 0 else 1.0) for v in spread]), lambda a, b: a / b))
+
+
+def _products(rows: DataFrame, width: int) -> np.ndarray:
+    """Sum over (f) rows of f f^T: a small matrix, one for each task on the way."""
+    from ..functions.vectors import vector_sums
+
+    def work(batches):
+        import pyarrow as pa
+
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = batch.column("f").flatten().to_numpy().reshape(-1, width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["k", "f"])
+
+    got = vector_sums(rows.select("f").mapInArrow(work, "k int, f array<double>"), ["k"], "f", width * width).first()
+    return np.array(got["f"]).reshape(width, width)
+
+
+def thin_spectral_clusters(kernel: DataFrame, k: int) -> DataFrame:
+    """(node_id, cluster): k-means on the leading eigenvectors of the normalised kernel, from the rows of ``thin_kernel``.
+
+    With K = F F^T the eigenvectors are the left singular vectors of F scaled by the roots of K's row sums; the products of
+    F's columns, a matrix as wide as F, come to the driver, the rows never do.
+    """
+    from ..functions.vectors import vector_sums, width_of
+    from ..plans import scratch
+
+    width = width_of(kernel, "f")
+    if not width:
+        return kernel.select("node_id", F.lit(0).alias("cluster"))
+    total = np.array(vector_sums(kernel.withColumn("_k", F.lit(0)), ["_k"], "f", width).first()["f"])
+    kind = kernel.schema["node_id"].dataType.simpleString()
+
+    def normalised(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("f").flatten().to_numpy().reshape(-1, width)
+                y = x / np.sqrt(np.maximum(x @ total, 1e-12))[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(list(y), pa.list_(pa.float64()))], names=["node_id", "f"])
+
+    rows = scratch.materialise(kernel.select("node_id", "f").mapInArrow(normalised, f"node_id {kind}, f array<double>"), "normalised")
+    values, vectors = np.linalg.eigh(_products(rows, width))
+    lead = vectors[:, -k:] / np.sqrt(np.maximum(values[-k:], 1e-12))
+
+    def project(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                u = batch.column("f").flatten().to_numpy().reshape(-1, width) @ lead
+                u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(list(u), pa.list_(pa.float64()))], names=["node_id", "features"])
+
+    points = scratch.materialise(rows.mapInArrow(project, f"node_id {kind}, features array<double>"), "projected")
+    return kmeans_clusters(points, k)[0].select("node_id", "cluster")
+
+
+def thin_medoids(kernel: DataFrame, clusters: DataFrame, pool: DataFrame) -> DataFrame:
+    """(node_id, ord): of each cluster the pool node most similar, on average, to the cluster's pool nodes; ties to the least id.
+
+    The mean of products with a cluster's rows is the product with their mean, so a cluster is one vector.
+    """
+    from ..functions.vectors import vector_sums, width_of
+
+    own = kernel.join(pool.select("node_id"), "node_id", "left_semi").join(clusters, "node_id")
+    # a row for each cluster
+    mean = vector_sums(own, ["cluster"], "f", width_of(kernel, "f"), mean=True).withColumnRenamed("f", "_m")
+    score = F.aggregate(F.zip_with("f", "_m", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    best = own.join(F.broadcast(mean), "cluster").groupBy("cluster").agg(F.min_by("node_id", F.struct(-score, "node_id")).alias("node_id"))
+    rows = [(r["node_id"], i + 1) for i, r in enumerate(best.orderBy("cluster").collect())]
+    return kernel.sparkSession.createDataFrame(rows, f"node_id {kernel.schema['node_id'].dataType.simpleString()}, ord int")
+
+
 def power_iteration_clusters(pairs: DataFrame, k: int, rounds: int = 20) -> DataFrame:
     """(id, cluster) from weighted pairs (src, dst, weight) of long ids; distributed."""
     from pyspark.ml.clustering import PowerIterationClustering

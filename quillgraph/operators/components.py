@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     work = current.where("u <> v")
     for _ in range(max_rounds):
         following = scratch.materialise(_small_star(_large_star(work)), "stars")
+        if mark is not None:
+            scratch.drop(work)
         seen = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work = following
         if seen == mark or not seen[0]:

@@ -164,3 +164,73 @@ def _search(index: MetricIndex, queries: np.ndarray, d: np.ndarray, radius: np.n
     for r in merged.collect():
         out[r["q"]] = [(x["d"], x["node_id"]) for x in r["near"]]
     return out
+
+
+#: Points that all points are measured against when a median of distances is sought.
+ANCHORS = 4096
+_BINS, _FEW = 4096, 50_000
+
+
+def median_square(points: DataFrame, anchors: int = ANCHORS, least: float = 1e-9, seed: int = 0) -> float:
+    """Median of the squared distances above ``least`` between (node_id, features) rows, 0.0 if there are none.
+
+    Distances are to at most ``anchors`` points drawn by hash, so with no more points than that the median is exact over all
+    pairs; with more its rank is off by about 1 / sqrt(anchors) of them.  Selection is distributed: tasks count
+    distances in bins, the bin of the median is cut into bins again, and only the last few distances are sent.
+    """
+    spark = points.sparkSession
+    scratch.ship(spark)
+    drawn = points.orderBy(sort_key(seed, "anchor", "node_id"), "node_id").limit(anchors).select("features").collect()
+    if not drawn:
+        return 0.0
+    centres = np.array([r[0] for r in drawn], float)
+    sent = spark.sparkContext.broadcast(centres)
+
+    def over(use, out: dict, schema: str) -> DataFrame:
+        def work(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = matrix(batch.column("features"), sent.value.shape[1])
+                step = max(1, _BLOCK // len(sent.value))
+                for i in range(0, len(x), step):
+                    gaps = distances(x[i : i + step], sent.value).ravel() ** 2
+                    row = use(gaps[gaps > least])
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, out[k]) for k, v in row.items()})
+
+        return points.select("features").mapInArrow(work, schema)
+
+    import pyarrow as pa
+
+    floats, longs = pa.float64(), pa.int64()
+    edge = over(lambda g: {"n": [len(g)], "low": [g.min() if len(g) else None], "high": [g.max() if len(g) else None]}, {"n": longs, "low": floats, "high": floats}, "n long, low double, high double").agg(F.sum("n"), F.min("low"), F.max("high")).first()
+    n, low, high = edge
+    if not n:
+        return 0.0
+
+    def select(rank: int) -> float:
+        a, b, before, inside = low, high, 0, n
+        while inside > _FEW and a < b:
+            cuts = np.linspace(a, b, _BINS + 1)
+
+            def count(g, cuts=cuts, a=a, b=b):
+                own = g[(g >= a) & (g <= b)]
+                bins = np.bincount(np.minimum(np.searchsorted(cuts, own, "right") - 1, _BINS - 1), minlength=_BINS)
+                used = np.flatnonzero(bins)
+                return {"bin": used, "n": bins[used]}
+
+            # a row for each bin
+            bins = dict(over(count, {"bin": longs, "n": longs}, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())
+            for i in sorted(bins):
+                if before + bins[i] > rank:
+                    break
+                before += bins[i]
+            if (a, b) == (cuts[i], cuts[i + 1]):
+                break
+            a, b, inside = float(cuts[i]), float(cuts[i + 1]) if i == _BINS - 1 else float(np.nextafter(cuts[i + 1], a)), bins[i]
+        if a >= b or inside > _FEW:
+            return a
+        left = over(lambda g: {"d": g[(g >= a) & (g <= b)]}, {"d": floats}, "d double").orderBy("d").limit(rank - before + 1).agg(F.max("d")).first()[0]
+        return float(left)
+
+    return (select((n - 1) // 2) + select(n // 2)) / 2

@@ -100,9 +100,11 @@ def collective(g: RelGraph, train: DataFrame, test: DataFrame, kind: str = "coun
     current = overlay(first.join(target, "node_id", "left_semi"), observed)
     if mode == "exact":
         return _in_order(g, rc, current, target, names, kind, attributes, rounds)
-    for _ in range(rounds):
+    for turn in range(rounds):
         new = predict(rc, relational_rows(g, current, names, kind, attributes).join(target, "node_id", "left_semi"), classes)
-        current = scratch.materialise(overlay(new.select("node_id", F.col("pred").alias("label")), observed), "collective")
+        before, current = current, scratch.materialise(overlay(new.select("node_id", F.col("pred").alias("label")), observed), "collective")
+        if turn:
+            scratch.drop(before)
     return current.select("node_id", F.col("label").alias("pred")).join(target, "node_id", "left_semi").join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 

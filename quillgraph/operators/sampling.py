@@ -80,10 +80,11 @@ def _spread(g: RelGraph, size: int, pool: DataFrame, seeds: DataFrame, reach: Ca
         if taken >= size:
             break
         grown = scratch.materialise(seen.unionByName(step.withColumn("level", F.lit(level))), "levels")
-        if grown.count() == seen.count():
-            seen = grown
-            break
+        more = grown.count() > seen.count()
+        scratch.drop(seen)
         seen = grown
+        if not more:
+            break
     return ranked(seen.join(inside, "node_id", "left_semi"), size, F.col("level"))
 
 
@@ -249,7 +250,9 @@ def by_colour(g: RelGraph, size: int, pool: DataFrame, seed: int = 0, k: int = 8
             break
         numbered = picks.select("node_id", (F.col("ord") + F.lit(turn * k)).alias("ord"))
         got = numbered if got is None else got.unionByName(numbered)
-        left = scratch.materialise(left.join(picks, "node_id", "left_anti"), "pool")
+        before, left = left, scratch.materialise(left.join(picks, "node_id", "left_anti"), "pool")
+        if turn:
+            scratch.drop(before)
         n, turn = n + new, turn + 1
     return ranked(got, size, F.col("ord")) if got is not None else pool.select("node_id", F.lit(1).alias("ord")).limit(0)
 

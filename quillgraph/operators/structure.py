@@ -72,9 +72,11 @@ def refine_colours(members: DataFrame, inner: DataFrame, rounds: int = 20) -> Da
     widest = members.groupBy("ego").count().agg(F.max("count")).first()[0] or 1
     # a prime for each colour; there are no more colours than nodes in the largest ego
     table = spark.createDataFrame([(i + 1, math.log(p)) for i, p in enumerate(primes(widest))], "colour int, lp double")
-    current = members.withColumn("colour", F.lit(1))
+    current, last = members.withColumn("colour", F.lit(1)), None
     for _ in range(rounds):
         following = scratch.materialise(one_round(current, inner, table), "colours")
+        if last is not None:
+            scratch.drop(last)
         changed = following.where("colour <> old").limit(1).count()
         if not changed:
             return following.select("ego", "node", "colour")
@@ -137,7 +139,9 @@ def random_walks(adj: DataFrame, starts: DataFrame, length: int, seed: int, self
             options = options.withColumn("nbr", F.when(~F.array_contains("path", F.col("nbr")), F.col("nbr")))
         pick = options.groupBy("start", "path").agg(F.min_by("nbr", F.when(F.col("nbr").isNotNull(), sort_key(seed, "walk", "start", F.lit(step), "nbr"))).alias("next"))
         moved = pick.select("start", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.col("next").isNull().alias("stuck"))
-        walks = scratch.materialise(moved.unionByName(walks.where("stuck")), "walks")
+        before, walks = walks, scratch.materialise(moved.unionByName(walks.where("stuck")), "walks")
+        if step:
+            scratch.drop(before)
     return walks.select("start", "path")
 
 
@@ -147,81 +151,90 @@ def sampled_neighbours(adj: DataFrame, cap: int, seed: int) -> DataFrame:
     return adj.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap).drop("_r")
 
 
-#: Bound of the edges that path centralities send to every worker.
-MOST_EDGES = 2_000_000
+#: Rows (source, node) of a batch of sources, which scratch tables hold on disk.
+BATCH_ROWS = 50_000_000
 
 
-def _shipped(edges: DataFrame):
-    n = edges.count()
-    if n > MOST_EDGES:
-        raise ValueError(f"{n} edges; path centralities hold the graph in each worker and take {MOST_EDGES} at most")
-    return edges.sparkSession.sparkContext.broadcast(edges.select("u", "v").toPandas().to_numpy())
+def pivot_error(pivots: int, nodes: int, risk: float = 0.05) -> float:
+    """What no node's estimated betweenness misses by, but for this risk, when so many sources are drawn (Hoeffding over all nodes).
 
-
-def path_centralities(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node_id, betweenness, load, closeness) and (u, v, betweenness), normalised; sources are dealt out over the tasks.
-
-    Betweenness by dependency accumulation from each source; load splits what passes evenly over
-    the predecessors; closeness is scaled by the share of nodes reached.
+    A source adds between 0 and n - 2 to a node, so normalised values move by at most 1 / (n - 1) for each of n sources.
+    """
+    return math.sqrt(math.log(2 * nodes / risk) / (2 * pivots)) * nodes / max(nodes - 1, 1)
+
+
+def _levels(arcs: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Tables (source, node, paths, before) of each distance: shortest paths from the source, and neighbours one level nearer."""
+    levels = [scratch.materialise(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(1.0).alias("paths"), F.lit(0).cast("long").alias("before")), "paths")]
+    while True:
+        step = levels[-1].join(arcs, "node").groupBy("source", F.col("nbr").alias("node")).agg(F.sum("paths").alias("paths"), F.count("*").alias("before"))
+        # without direction a neighbour is at the next level, this one or the one before
+        for near in levels[-2:]:
+            step = step.join(near.select("source", "node"), ["source", "node"], "left_anti")
+        found = scratch.materialise(step, "paths")
+        if found.isEmpty():
+            scratch.drop(found)
+            return levels
+        levels.append(found)
+
+
+def _dependencies(arcs: DataFrame, levels: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables (node, part, flow) and (u, v, part), to be summed: what sources' shortest paths put on nodes and edges, from the last level up."""
+    by_node, by_edge = [], []
+    current = levels[-1].withColumns({"part": F.lit(0.0), "flow": F.lit(1.0)})
+    for above in reversed(levels[:-1]):
+        down = current.select("source", F.col("node").alias("nbr"), F.col("paths").alias("_paths"), "before", "part", "flow").join(arcs, "nbr")
+        on = down.join(above.select("source", "node", "paths"), ["source", "node"])
+        share = scratch.materialise(on.select("source", "node", "nbr", (F.col("paths") / F.col("_paths") * (1 + F.col("part"))).alias("part"), (F.col("flow") / F.col("before")).alias("flow")), "shares")
+        by_edge.append(scratch.materialise(share.groupBy(F.least("node", "nbr").alias("u"), F.greatest("node", "nbr").alias("v")).agg(F.sum("part").alias("part")), "edge-parts"))
+        got = share.groupBy("source", "node").agg(F.sum("part").alias("part"), (1 + F.sum("flow")).alias("flow"))
+        before, current = current, scratch.materialise(above.join(got, ["source", "node"], "left").select("source", "node", "paths", "before", F.coalesce("part", F.lit(0.0)).alias("part"), F.coalesce("flow", F.lit(1.0)).alias("flow")), "dependencies")
+        scratch.drop(share, before)
+        by_node.append(scratch.materialise(current.where("node <> source").groupBy("node").agg(F.sum("part").alias("part"), F.sum(F.col("flow") - 1).alias("flow")), "node-parts"))
+    scratch.drop(current)
+    return by_node, by_edge
+
+
+def path_centralities(edges: DataFrame, pivots: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node_id, betweenness, load, closeness) and (u, v, betweenness), normalised.
+
+    Breadth-first from many sources at once, as joins on (source, node), a level of all of them in one job; then
+    dependencies are accumulated level by level on the way back.  Sources go in batches, so that a batch has ``BATCH_ROWS`` rows
+    or so; no task holds the graph.  Load splits what passes evenly over the predecessors; closeness is scaled by the share of nodes
+    reached.  ``pivots``: only so many sources, drawn by hash; sums are scaled up, ``pivot_error`` says how
+    far off, and closeness, which is of a source, is null for the others.
     """
     plain = edges.where("u <> v")
-    sent = _shipped(plain)
-    scratch.ship(edges.sparkSession)
-
-    def work(batches):
-        import pyarrow as pa
-
-        near: dict = {}
-        for u, v in sent.value.tolist():
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        node, load, pair, out = {}, {}, {}, []
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                order, dist, paths, back = [], {s: 0}, {s: 1.0}, {s: []}
-                queue = [s]
-                while queue:
-                    later = []
-                    for v in queue:
-                        order.append(v)
-                        for w in near.get(v, ()):
-                            if w not in dist:
-                                dist[w], paths[w], back[w] = dist[v] + 1, 0.0, []
-                                later.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] += paths[v]
-                                back[w].append(v)
-                    queue = later
-                total = sum(dist.values())
-                out.append((s, None, "closeness", (len(dist) - 1) / total * (len(dist) - 1) / max(len(near) - 1, 1) if total else 0.0))
-                part, flow = dict.fromkeys(order, 0.0), dict.fromkeys(order, 1.0)
-                for w in reversed(order):
-                    for v in back[w]:
-                        c = paths[v] / paths[w] * (1 + part[w])
-                        key = (v, w) if v < w else (w, v)
-                        pair[key] = pair.get(key, 0.0) + c
-                        part[v] += c
-                        if v != s:
-                            flow[v] += flow[w] / len(back[w])
-                    if w != s:
-                        node[w] = node.get(w, 0.0) + part[w]
-                        load[w] = load.get(w, 0.0) + flow[w] - 1
-        out += [(k, None, "betweenness", v) for k, v in node.items()] + [(k, None, "load", v) for k, v in load.items()] + [(a, b, "edge", v) for (a, b), v in pair.items()]
-        kind = pa.int64() if not out or isinstance(out[0][0], int) else pa.string()
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64())], names=["a", "b", "kind", "value"])
-
-    sources = end_points(plain)
-    kind = sources.schema["node_id"].dataType.simpleString()
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    raw = sources.repartition(tasks, "node_id").mapInArrow(work, f"a {kind}, b {kind}, kind string, value double")
-    summed = scratch.materialise(raw.groupBy("a", "b", "kind").agg(F.sum("value").alias("value")), "paths")
-    n = sources.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    of = lambda k: summed.where(F.col("kind") == k).select(F.col("a").alias("node_id"), F.col("value").alias(k))
-    nodes = sources.join(of("betweenness"), "node_id", "left").join(of("load"), "node_id", "left").join(of("closeness"), "node_id", "left").fillna(0.0)
-    nodes = nodes.withColumns({"betweenness": F.col("betweenness") * scale, "load": F.col("load") * scale})
-    return nodes, summed.where("kind = 'edge'").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("value") / (n * (n - 1))).alias("betweenness"))
+    arcs = scratch.materialise(adjacency(plain), "arcs")
+    nodes = scratch.materialise(end_points(plain), "nodes")
+    n = nodes.count()
+    drawn = nodes if pivots is None or pivots >= n else nodes.orderBy(sort_key(seed, "pivot", "node_id"), "node_id").limit(pivots)
+    k = min(n, pivots or n)
+    batches = max(1, -(-k * n // BATCH_ROWS))
+    dealt = scratch.materialise(drawn.withColumn("batch", F.pmod(F.xxhash64("node_id"), F.lit(batches)).cast("int")), "sources")
+    by_node, by_edge, reach = [], [], []
+    for batch in range(batches):
+        levels = _levels(arcs, dealt.where(F.col("batch") == batch))
+        counts = [t.groupBy("source").agg(F.count("*").alias("reached")).withColumn("level", F.lit(i).cast("long")) for i, t in enumerate(levels)]
+        one = counts[0]
+        for c in counts[1:]:
+            one = one.unionByName(c)
+        reach.append(scratch.materialise(one.groupBy("source").agg(F.sum("reached").alias("reached"), F.sum(F.col("reached") * F.col("level")).alias("total")), "reach"))
+        own_nodes, own_edges = _dependencies(arcs, levels)
+        by_node += own_nodes
+        by_edge += own_edges
+        scratch.drop(*levels)
+    up = n / max(k, 1)
+    scale = up / ((n - 1) * (n - 2)) if n > 2 else up
+    others = F.col("reached") - 1
+    close = scratch.stacked(reach).select(F.col("source").alias("node_id"), F.when(F.col("total") > 0, others / F.col("total") * others / max(n - 1, 1)).otherwise(0.0).alias("closeness"))
+    if not by_node:
+        empty = nodes.select("node_id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("load")).join(close, "node_id", "left")
+        return empty, plain.select("u", "v", F.lit(0.0).alias("betweenness"))
+    on_nodes = scratch.stacked(by_node).groupBy(F.col("node").alias("node_id")).agg((F.sum("part") * scale).alias("betweenness"), (F.sum("flow") * scale).alias("load"))
+    out = nodes.join(on_nodes, "node_id", "left").join(close, "node_id", "left").fillna(0.0, ["betweenness", "load"])
+    pairs = scratch.stacked(by_edge).groupBy("u", "v").agg((F.sum("part") * (up / (n * (n - 1)))).alias("betweenness"))
+    return out, pairs
 
 
 def structural_features(edges: DataFrame) -> DataFrame:

@@ -614,7 +614,7 @@ def power_bisection(spark: SparkSession, d: str) -> DataFrame:
 @query("spectral")
 def spectral(spark: SparkSession, d: str) -> DataFrame:
     g, _, _ = _small(spark, d)
-    return community.spectral_clusters(g.features, g.edges, 4)[0]
+    return community.thin_spectral_clusters(scratch.materialise(community.thin_kernel(g.features, g.edges), "kernel"), 4)
 
 
 @query("content_predict")
@@ -673,7 +673,8 @@ def inside_betweenness(spark: SparkSession, d: str) -> DataFrame:
 @query("medoids")
 def medoids(spark: SparkSession, d: str) -> DataFrame:
     g, train, _ = _small(spark, d)
-    return community.medoids(g.features, g.edges, train, 4)
+    kernel = scratch.materialise(community.thin_kernel(g.features, g.edges), "kernel")
+    return community.thin_medoids(kernel, community.thin_spectral_clusters(kernel, 4), train)
 
 
 @query("principal_components")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import vector_sums
-from quillgraph.operators import community, metric, models, propagate, sampling
+from quillgraph.operators import community, metric, models, propagate, sampling, structure
 from quillgraph.operators.graph import RelGraph, adjacency, undirected
 
 
@@ -242,3 +242,87 @@ def test_nearest_by_index(spark):
     kth = np.sort(gaps, axis=1)[:, 3]
     assert sum(len(q) for q in metric._open_cells(index, d, kth).values()) < 0.5 * len(queries) * len(index.cells)
     assert metric.nearest(metric.build(spark.createDataFrame([], "node_id long, features array<double>")), queries[:2], 3) == [[], []]
+
+
+# path centralities, kernels
+
+
+def test_path_centralities_by_levels(spark, monkeypatch):
+    """Against accumulation from one source at a time, on a graph in two parts, in several batches of sources."""
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(18), 2))) for _ in range(45)} | {(30, 31), (31, 32)})
+    near = {}
+    for u, v in pairs:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    n, node, load, pair, close = len(near), {}, {}, {}, {}
+    for s in near:
+        order, dist, ways, back, queue = [], {s: 0}, {s: 1.0}, {s: []}, [s]
+        while queue:
+            v = queue.pop(0)
+            order.append(v)
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], ways[w], back[w] = dist[v] + 1, 0.0, []
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    ways[w] += ways[v]
+                    back[w].append(v)
+        total = sum(dist.values())
+        close[s] = (len(dist) - 1) / total * (len(dist) - 1) / (n - 1)
+        part, flow = dict.fromkeys(order, 0.0), dict.fromkeys(order, 1.0)
+        for w in reversed(order):
+            for v in back[w]:
+                c = ways[v] / ways[w] * (1 + part[w])
+                pair[min(v, w), max(v, w)] = pair.get((min(v, w), max(v, w)), 0.0) + c
+                part[v] += c
+                flow[v] += flow[w] / len(back[w])
+            if w != s:
+                node[w] = node.get(w, 0.0) + part[w]
+                load[w] = load.get(w, 0.0) + flow[w] - 1
+    monkeypatch.setattr(structure, "BATCH_ROWS", n * n // 2)
+    e = undirected(spark.createDataFrame([*pairs, (4, 4)], "src long, dst long"))
+    got, edges = structure.path_centralities(e)
+    got = {r["node_id"]: (r["betweenness"], r["load"], r["closeness"]) for r in got.collect()}
+    scale = 1 / ((n - 1) * (n - 2))
+    assert got == {v: pytest.approx((node.get(v, 0.0) * scale, load.get(v, 0.0) * scale, close[v])) for v in near}
+    assert {(r["u"], r["v"]): r["betweenness"] for r in edges.collect()} == {k: pytest.approx(x / (n * (n - 1))) for k, x in pair.items()}
+    some, _ = structure.path_centralities(e, pivots=12, seed=1)
+    assert max(abs(r["betweenness"] - node.get(r["node_id"], 0.0) * scale) for r in some.collect()) < structure.pivot_error(12, n)
+
+
+def test_median_square(spark, monkeypatch):
+    monkeypatch.setattr(metric, "_FEW", 40)
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(3, 2)), 9, axis=0), np.zeros((5, 2))):
+        gaps = np.array([((x[i] - x[j]) ** 2).sum() for i in range(len(x)) for j in range(i)])
+        gaps = gaps[gaps > 1e-9]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, features array<double>").repartition(3)
+        assert metric.median_square(df) == pytest.approx(np.median(gaps) if len(gaps) else 0.0)
+
+
+def test_thin_kernel_and_its_clusters(spark):
+    """Close to the dense kernel, closer with more features; planted groups come out; the medoids are the dense ones of the clusters."""
+    rng = np.random.default_rng(2)
+    n = 90
+    x = np.vstack([rng.normal(3 * c, 0.3, size=(30, 2)) for c in range(3)])
+    pairs = sorted({tuple(sorted((30 * c + int(a), 30 * c + int(b)))) for c in range(3) for a, b in rng.integers(0, 30, size=(120, 2)) if a != b} | {(i, i + 1) for i in range(n - 1) if i % 30 != 29})
+    g = graph(spark, pairs, {i: "a" for i in range(n)}, dict(enumerate(x)))
+    gamma = 0.5
+    a = np.zeros((n, n))
+    for u, v in pairs:
+        a[u, v] = a[v, u] = 1
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    d = np.diag(1 / a.sum(axis=1))
+    dense = d @ a @ np.exp(-gamma * d2) @ a @ d
+    kernel = community.thin_kernel(g.features, g.edges, gamma=gamma, count=512).cache()
+    f = {r["node_id"]: r["f"] for r in kernel.collect()}
+    f = np.array([f[i] for i in range(n)])
+    assert np.abs(f @ f.T - dense).max() < 4 / np.sqrt(256)
+    clusters = community.thin_spectral_clusters(kernel, 3).cache()
+    of = {r["node_id"]: r["cluster"] for r in clusters.collect()}
+    assert len(set(of.values())) == 3 and all(len({of[30 * c + i] for i in range(30)}) == 1 for c in range(3))
+    for r in community.thin_medoids(kernel, clusters, g.nodes.where("node_id % 2 = 0")).collect():
+        own = [i for i in range(0, n, 2) if of[i] == of[r["node_id"]]]
+        mean = {i: (f[i] @ f[own].T).mean() for i in own}
+        assert mean[r["node_id"]] == pytest.approx(max(mean.values()))
