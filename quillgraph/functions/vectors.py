@@ -68,11 +68,11 @@ def vector_sums(rows: DataFrame, key: list[str], vector: str, width: int, weight
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("_v"), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice("_v", b * BLOCK + 1, BLOCK))
         parts = base.select(*key, "_w", F.posexplode(cut).alias("_b", "_v"))
     size = max(1, min(width, BLOCK))
-    sums = [F.sum(F.col("_w") * F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(size)]
+    sums = [F.expr(f"sum(_w * get(_v, {i})) AS _{i}") for i in range(size)]
     by = key if narrow else [*key, "_b"]
     added = parts.groupBy(*by).agg(F.max(F.size("_v")).alias("_size"), F.count("*").alias("_n"), *sums)
-    over = F.col("_n").cast("double") if mean else F.lit(1.0)
-    block = F.slice(F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) / over for i in range(size)]), F.lit(1), F.greatest("_size", F.lit(0)))
+    over = " / _n" if mean else ""
+    block = F.expr(f"slice(array({', '.join(f'coalesce(_{i}, 0.0D){over}' for i in range(size))}), 1, greatest(_size, 0))")
     if narrow:
         return added.select(*key, block.alias(vector))
     # as many rows for each key as the vector has blocks

@@ -61,9 +61,9 @@ def modularity_clusters(edges: DataFrame, cap: float, mode: str = "eigenvalue_co
 
 
 #: Vectors iterated together, multiplications between two Rayleigh-Ritz steps, and how often at most.
-_VECTORS, _STEPS, _MOST_CYCLES = 4, 7, 40
+_VECTORS, _STEPS, _MOST_CYCLES = 16, 6, 40
 #: Residual of the leading eigenpair, as a share of the eigenvalue, that ends the iteration.
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
 
 
 def _ritz(gram: np.ndarray, vectors: int) -> tuple[np.ndarray, float, float]:
@@ -82,7 +82,7 @@ def _ritz(gram: np.ndarray, vectors: int) -> tuple[np.ndarray, float, float]:
     inner = white.T @ moved @ white
     ritz, mix = np.linalg.eigh((inner + inner.T) / 2)
     best = white @ mix[:, ::-1][:, :vectors]
-    best = np.hstack([best, np.zeros((size, vectors - best.shape[1]))]) / length[:size, None]
+    best = np.where(length[:size, None] > 1e-100, np.hstack([best, np.zeros((size, vectors - best.shape[1]))]) / length[:size, None], 0.0)
     first, top = best[:, 0], float(ritz[-1])
     rest = np.r_[np.zeros(vectors), first] - top * np.r_[first, np.zeros(vectors)]
     norm = float(first @ gram[:size, :size] @ first)
@@ -108,11 +108,12 @@ def leading_vectors(members: DataFrame, arcs: DataFrame, seed: int = 7) -> DataF
     # a self-loop counts two in a degree
     d = arcs.groupBy(F.col("node").alias("node_id")).agg(F.sum(F.when(F.col("node") == F.col("nbr"), 2.0).otherwise(1.0)).alias("degree"))
     start = F.array(*[uniform(seed, f"krylov{i}", "node_id") - 0.5 for i in range(_VECTORS)])
-    state = scratch.materialise(members.join(d, "node_id", "left").select("part", "node_id", F.coalesce("degree", F.lit(0.0)).alias("degree"), start.alias("x")), "krylov")
+    joined = members.join(d, "node_id", "left").select("part", "node_id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
     # one row for each part, and a part has ``cap`` nodes at least
-    totals = [tuple(r) for r in state.groupBy("part").agg(F.sum("degree"), F.avg("degree")).collect()]
-    mean = {p: m for p, _, m in totals}
-    totals = F.broadcast(spark.createDataFrame(totals, "part int, m2 double, mean double").drop("mean"))
+    of_part = joined.groupBy("part").agg(F.greatest(F.sum("degree"), F.lit(1.0)).alias("m2"), F.avg("degree").alias("mean"))
+    state = scratch.materialise(joined.join(F.broadcast(of_part), "part").withColumn("x", start), "krylov")
+    mean = dict(state.groupBy("part").agg(F.first("mean")).collect())
+    state = state.select("part", "node_id", "degree", "m2", "x")
     width = _VECTORS * (_STEPS + 1)
 
     def products(batches):
@@ -134,10 +135,9 @@ def leading_vectors(members: DataFrame, arcs: DataFrame, seed: int = 7) -> DataF
         for step in range(_STEPS):
             through = vector_sums(arcs.join(basis.select(F.col("node_id").alias("nbr"), "x"), "nbr").withColumnRenamed("node", "node_id"), ["node_id"], "x", _VECTORS).withColumnRenamed("x", "_ax")
             pull = F.broadcast(vector_sums(basis, ["part"], "x", _VECTORS, F.col("degree")).withColumnRenamed("x", "_kx"))
-            joined = basis.join(through, "node_id", "left").join(pull, "part").join(totals, "part")
-            less = scaled(F.col("_kx"), F.col("degree") / F.greatest("m2", F.lit(1.0)))
-            zero = F.array(*[F.lit(0.0)] * _VECTORS)
-            moved = joined.withColumn("x", F.zip_with(F.coalesce("_ax", zero), less, lambda a, b: a - b)).select("part", "node_id", "degree", "x", "basis")
+            joined = basis.join(through, "node_id", "left").join(pull, "part")
+            less = scaled(F.col("_kx"), F.col("degree") / F.col("m2"))
+            moved = joined.withColumn("x", F.zip_with(F.coalesce("_ax", F.expr(f"array_repeat(0.0D, {_VECTORS})")), less, lambda a, b: a - b)).select("part", "node_id", "degree", "m2", "x", "basis")
             following = scratch.materialise(moved.withColumn("basis", F.concat("basis", "x")), "krylov")
             scratch.drop(basis)
             basis = following
@@ -157,9 +157,9 @@ def leading_vectors(members: DataFrame, arcs: DataFrame, seed: int = 7) -> DataF
                 for p in np.unique(part):
                     best = sent.value[int(p)]
                     out[part == p] = rows[part == p, : len(best)] @ best
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(out), pa.list_(pa.float64()))], names=["part", "node_id", "degree", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(list(out), pa.list_(pa.float64()))], names=["part", "node_id", "degree", "m2", "x"])
 
-        state = scratch.materialise(basis.select("part", "node_id", "degree", "basis").mapInArrow(combine, state.select("part", "node_id", "degree", "x").schema), "krylov")
+        state = scratch.materialise(basis.select("part", "node_id", "degree", "m2", "basis").mapInArrow(combine, state.schema), "krylov")
         scratch.drop(basis)
         if all(residual <= TOLERANCE * max(abs(top), mean[p]) for p, (_, top, residual) in found.items()):
             return state.select("part", "node_id", F.get("x", F.lit(0)).alias("x"))

@@ -46,7 +46,9 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     with small_batches(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 @contextmanager
@@ -70,6 +72,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def path_of(df: DataFrame) -> str | None:
     """The path of the scratch table that ``df`` scans (as ``materialise`` returned it); None if it scans none that is left."""
+    own = getattr(df, "_scratch_path", None)
+    if own:
+        return own if own in _LIVE else None
     live = {p.split("://")[-1]: p for p in _LIVE}
     for file in df.inputFiles()[:1]:
         plain = file.split("://")[-1]
