@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillgraph.plans import graph_queries, registry, source_queries, vector_queries  # noqa: F401  (they register)
+from quillgraph.plans import graph_queries, registry, source_queries, synth_queries, vector_queries  # noqa: F401  (they register)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
