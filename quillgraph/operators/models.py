@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sparse import is_sparse, ml_vectors
+from ..functions.sparse import width_of as sparse_width
 from ..functions.vectors import vector_sums, width_of
 from ..plans import scratch
 from .graph import RelGraph
@@ -38,10 +40,17 @@ def wvrn(g: RelGraph, train: DataFrame, test: DataFrame) -> DataFrame:
     return pred.join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 
+def _vectors(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """Rows with a Spark ML vector v from an array or sparse vector x; sparse ones are ``width`` long, by default as the longest."""
+    if is_sparse(rows, "x"):
+        return ml_vectors(rows, "x", max(sparse_width(rows, "x"), 1) if width is None else width).drop("x")
+    return rows.withColumn("v", array_to_vector("x")).drop("x")
+
+
 def _weighted(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (node_id, label, x) with class index y, vector v and balanced weight w."""
     w = class_counts(rows).select("label", F.col("balanced_weight").alias("w"))
-    return rows.join(F.broadcast(classes), "label").join(F.broadcast(w), "label").select("node_id", F.col("class_idx").cast("double").alias("y"), array_to_vector("x").alias("v"), "w")
+    return _vectors(rows).join(F.broadcast(classes), "label").join(F.broadcast(w), "label").select("node_id", F.col("class_idx").cast("double").alias("y"), "v", "w")
 
 
 def logistic(rows: DataFrame, classes: DataFrame, max_iter: int = 200, reg: float | None = None):
@@ -52,18 +61,18 @@ def logistic(rows: DataFrame, classes: DataFrame, max_iter: int = 200, reg: floa
 
 
 def predict(model, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node_id, pred) of (node_id, x)."""
-    out = model.transform(rows.select("node_id", array_to_vector("x").alias("v")))
+    """(node_id, pred) of (node_id, x); of sparse vectors, positions beyond those learned from have no weight."""
+    out = model.transform(_vectors(rows.select("node_id", "x"), model.numFeatures))
     return out.select("node_id", F.col("p").cast("int").alias("class_idx")).join(F.broadcast(classes), "class_idx").select("node_id", F.col("label").alias("pred"))
 
 
 def probabilities(model, rows: DataFrame) -> DataFrame:
     """(node_id, proba): an array over the class indices."""
-    return model.transform(rows.select("node_id", array_to_vector("x").alias("v"))).select("node_id", vector_to_array("q").alias("proba"))
+    return model.transform(_vectors(rows.select("node_id", "x"), model.numFeatures)).select("node_id", vector_to_array("q").alias("proba"))
 
 
 def content_only(g: RelGraph, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Logistic regression on the features alone."""
+    """Logistic regression on the features alone, arrays or sparse vectors."""
     classes = g.classes()
     x = g.features.select("node_id", F.col("features").alias("x"))
     labelled = g.nodes.join(train.select("node_id"), "node_id", "left_semi").join(x, "node_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sparse import TYPE, gathered, is_sparse
 from ..functions.vectors import scaled, vector_sums, width_of
 from .graph import adjacency
 
@@ -49,8 +50,10 @@ def propagate(features: DataFrame, edges: DataFrame, norm: str = "squared", hops
 
     The factors of rows and columns are applied to the vectors, so a hop is one join of arcs with vectors and one sum of
     vectors: what is shuffled is a vector for each node on the way in and for each node and task on the way out.
-    Arcs of a node without features bring nothing.
+    Arcs of a node without features bring nothing.  Sparse vectors stay sparse.
     """
+    if is_sparse(features, "features"):
+        return _propagate_sparse(features, edges, norm, hops)
     width = width_of(features)
     side = _sides(edges, features, norm)
     arcs = arc_weights(edges, features, norm)
@@ -61,3 +64,17 @@ def propagate(features: DataFrame, edges: DataFrame, norm: str = "squared", hops
         summed = vector_sums(near, ["node_id"], "features", width, F.col("w")).join(side, "node_id")
         current = summed.withColumn("features", scaled(F.col("features"), F.col("side")))
     return current.select("node_id", "features")
+
+
+def _propagate_sparse(features: DataFrame, edges: DataFrame, norm: str, hops: int) -> DataFrame:
+    """As ``propagate``: an arc brings the elements that its vector has, added up in each task before they are shuffled."""
+    side = _sides(edges, features, norm)
+    arcs = arc_weights(edges, features, norm)
+    nodes, current = features.select("node_id"), features.select("node_id", "features").join(side, "node_id")
+    for _ in range(hops):
+        sent = current.select(F.col("node_id").alias("j"), "side", F.explode("features").alias("e"))
+        near = arcs.join(sent, "j").select(F.col("i").alias("node_id"), F.col("e.pos").alias("pos"), (F.col("w") * F.col("side") * F.col("e.value")).alias("value"))
+        back = side.join(gathered(near, "node_id"), "node_id")
+        current = back.withColumn("features", F.transform("features", lambda e: F.struct(e["pos"].alias("pos"), (e["value"] * F.col("side")).alias("value"))))
+    # a node whose neighbours have nothing keeps an empty vector
+    return nodes.join(current, "node_id", "left").select("node_id", F.coalesce("features", F.array().cast(TYPE)).alias("features"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import sql_key
 from ..operators.graph import RelGraph, indexed
+from ..operators.propagate import propagate
 from ..sources import tables
 from . import experiment, scratch
 from .fixtures import F1, TRIALS, co_order, co_order_edges, table, trials
@@ -91,12 +92,33 @@ def sparse_tab_nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), F.concat(F.lit("label="), F.replace("p_type", F.lit(" "), F.lit("_"))), F.concat(F.lit("w-price="), F.col("p_retailprice").cast("string")), size, F.lit("summary=w-size,w-price")).alias("value"))
     head = spark.createDataFrame([("NODE\tpaper",), ("cat=1,2,3:label\tnumeric:w-size:0.0\tnumeric:w-price:0.0\tsummary",)], "value string").coalesce(1)
     path = scratch.new_path(spark, "tab")
-    # a file of its own: the two lines must come first
-    head.union(rows.coalesce(1)).coalesce(1).write.text(path)
+    head.write.text(path)
+    rows.write.mode("append").text(path)
     f = tables.sparse_nodes(spark, path)
     return f.select("node_id", "label", F.col("features")[0].alias("size"), F.col("features")[1].alias("price"))
 
 
+@query("sparse_propagation", f"""WITH {F1}, x AS (SELECT p_partkey AS node_id, unnest(list_distinct(string_split(p_name || ' ' || p_brand, ' '))) AS word FROM part),
+d AS (SELECT node, count(*) AS d FROM a GROUP BY 1), arcs AS (SELECT node AS i, nbr AS j FROM a UNION ALL SELECT node_id, node_id FROM g)
+SELECT CAST(i AS VARCHAR) AS node_id, word, CAST(sum((1 + di.d) * (1 + dj.d)) AS DOUBLE) AS value FROM arcs JOIN d di ON di.node = i JOIN d dj ON dj.node = j JOIN x ON x.node_id = j GROUP BY 1, 2""")
+def sparse_propagation(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each part's name and brand as a sparse vector, written as tab files, read back and propagated once."""
+    part = table(spark, d, "part").select("p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("words"))
+    words = part.select(F.explode("words").alias("word")).distinct()
+    line = F.concat(F.lit("cat=1:label\t"), F.concat_ws("\t", F.array_sort(F.collect_list(F.concat(F.lit("numeric:"), "word", F.lit(":0.0"))))), F.lit("\tsummary"))
+    path = scratch.new_path(spark, "tab")
+    # the words of names and brands: a vocabulary, one line
+    words.agg(line.alias("value")).write.text(path)
+    part.select(F.concat_ws("\t", F.col("p_partkey").cast("string"), F.lit("label=1"), F.concat_ws("\t", F.transform("words", lambda w: F.concat(w, F.lit("=1")))), F.lit("summary=w")).alias("value")).write.mode("append").text(path)
+    rows, vocabulary = tables.sparse_content(spark, path)
+    g = co_order(spark, d)
+    texts = F.col("node_id").cast("string").alias("node_id")
+    edges = g.edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"))
+    x = scratch.materialise(rows.join(g.nodes.select(texts), "node_id", "left_semi").select("node_id", "features"), "sparse")
+    out = propagate(x, edges).select("node_id", F.explode("features").alias("e"))
+    return out.select("node_id", F.col("e.pos").alias("pos"), F.col("e.value").alias("value")).join(vocabulary, "pos").select("node_id", "word", "value")
+
+
 @query("sparse_tab_edges", f"WITH {F1} SELECT CAST(u AS VARCHAR) AS src, CAST(v AS VARCHAR) AS dst FROM e")
 def sparse_tab_edges(spark: SparkSession, d: str) -> DataFrame:
     head = spark.createDataFrame([("DIRECTED\tcites",), ("NO_FEATURES",)], "value string").coalesce(1)

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import RelGraph, build
+from ..functions.sparse import TYPE, gathered, to_dense
+from ..operators.graph import RelGraph, build, dense_index
 
 NUMBERS = "array<double>"
 
@@ -45,20 +46,37 @@ def cites_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return tokens(lines, column).select(F.element_at("tokens", 1).alias("src"), F.element_at("tokens", 2).alias("dst"))
 
 
-def sparse_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """(node_id, label, features) of tab files: a line to skip, a vocabulary line, then ``id label=.. word=value.. summary``.
+def vocabulary(lines: DataFrame) -> DataFrame:
+    """(word, pos) of the vocabulary lines of tab files, from (file, value): words in order of file and place, each once.
 
-    A word that a line lacks is 0; the vocabulary line gives the width and the order.
+    Such a line starts with the classes, ``cat=..``; its fields ``kind:word:default`` are words, those with ``=`` and the summary are not.
     """
-    numbered = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("line"))
-    head = [r["value"] for r in numbered.orderBy("line").limit(2).collect()]
-    names = [x.split(":")[1] if ":" in x else x for x in head[1].split("\t") if "=" not in x and not x.startswith(("cat", "summary"))]
-    names = [x for x in names if x]
-    parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").isin(head)).select(parts.alias("p"))
-    pairs = F.map_from_entries(F.transform(F.filter(F.slice("p", 3, F.size("p") - 2), lambda x: x.contains("=") & ~x.startswith("summary")), lambda x: F.struct(F.split(x, "=")[0], F.split(x, "=")[1].cast("double"))))
-    vector = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.col("m")[n], F.lit(0.0)))
-    return rows.select(F.col("p")[0].alias("node_id"), F.split(F.col("p")[1], "=")[1].alias("label"), pairs.alias("m")).select("node_id", "label", vector.alias("features"))
+    fields = lines.where("value LIKE 'cat=%'").select("file", F.posexplode(F.split("value", "\t")).alias("i", "field"))
+    words = fields.where(~F.col("field").contains("=") & ~F.col("field").startswith("cat") & ~F.col("field").startswith("summary"))
+    named = words.select(F.when(F.col("field").contains(":"), F.split("field", ":")[1]).otherwise(F.col("field")).alias("word"), F.struct("file", "i").alias("at"))
+    return dense_index(named.where("word <> ''").groupBy("word").agg(F.min("at").alias("at")), "at", "pos").select("word", F.col("pos").cast("int").alias("pos"))
+
+
+def sparse_content(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((node_id, label, features), vocabulary) of tab files with lines ``id label=.. word=value.. summary``.
+
+    Features are sparse vectors over the positions of ``vocabulary``.  Lines are told by their form, not by
+    their place, so a path may hold many files, each with the header lines or without them.  Words that no
+    vocabulary has, and values that are no number, are left out; a line without words has an empty vector.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    words = vocabulary(lines)
+    rows = lines.where(F.col("value").rlike("^[^\t]+\tlabel=")).select(F.split("value", "\t").alias("p")).select(F.col("p")[0].alias("node_id"), F.split(F.col("p")[1], "=", 2)[1].alias("label"), F.slice("p", 3, F.size("p")).alias("p"))
+    pairs = rows.select("node_id", F.explode("p").alias("x")).where(F.col("x").contains("=") & ~F.col("x").startswith("summary"))
+    long = pairs.select("node_id", F.split("x", "=", 2)[0].alias("word"), F.expr("try_cast(split(x, '=', 2)[1] AS double)").alias("value"))
+    vectors = gathered(long.join(words, "word"), "node_id")
+    return rows.select("node_id", "label").join(vectors, "node_id", "left").select("node_id", "label", F.coalesce("features", F.array().cast(TYPE)).alias("features")), words
+
+
+def sparse_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, label, features) of tab files as ``sparse_content`` reads them, with whole arrays: for narrow vocabularies."""
+    rows, words = sparse_content(spark, path)
+    return rows.withColumn("features", to_dense("features", words.count()))
 
 
 def sparse_edges(spark: SparkSession, path: str) -> DataFrame:
