@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +18,7 @@ from ..functions.vectors import averaged_rank
 from ..operators.graph import RelGraph
 from ..operators.models import MODELS
 from ..operators.sampling import REGISTRY, seed_nodes, select, stratified_split
-from ..sources.tables import ExperimentConfig, read_trials, write_trials
+from ..sources.tables import TRIAL_KEYS, ExperimentConfig, read_trials, write_trials
 from . import scratch
 
 TRIAL = "dataset string, classifier string, algo string, trial int, budget int, f1 double, seconds double"
@@ -48,11 +51,14 @@ def matrix(spark: SparkSession, datasets: list[str], classifiers: list[str], alg
     return spark.createDataFrame(rows, "dataset string, classifier string, algo string")
 
 
-def run_matrix(graphs: dict[str, RelGraph], configs: list[ExperimentConfig], cache: str, cached: bool = False) -> DataFrame:
-    """The trials of several experiments, one after the other (each is a chain of Spark jobs); graphs by dataset."""
+def run_matrix(graphs: dict[str, RelGraph], configs: list[ExperimentConfig], cache: str, cached: bool = False, at_once: int = 1, resume: bool = False) -> DataFrame:
+    """The trials of several experiments, ``at_once`` of them beside each other; graphs by dataset."""
+    if not cached:
+        tasks = [(graphs[c.dataset], c, algo, trial, {}) for c in configs for trial in range(c.num_trials) for algo in c.algos]
+        run_trials(tasks, cache, at_once, resume)
     out = None
     for config in configs:
-        one = run_experiment(graphs[config.dataset], config, cache, cached)
+        one = run_experiment(graphs[config.dataset], config, cache, True)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -77,12 +83,83 @@ def run_trial(g: RelGraph, config: ExperimentConfig, classifier: str, algo: str,
     return g.nodes.sparkSession.createDataFrame(rows, TRIAL)
 
 
-def run_experiment(g: RelGraph, config: ExperimentConfig, cache: str, cached: bool = False, **params) -> DataFrame:
+def trial_name(config: ExperimentConfig, algo: str, trial: int) -> str:
+    """Job group and scheduler pool of a trial; ``SparkContext.cancelJobGroup`` of it stops that trial alone."""
+    return f"quillgraph-{config.dataset}-{config.classifier}-{algo}-{trial}"
+
+
+def finished_trials(spark: SparkSession, cache: str) -> set[tuple[str, str, str, int, frozenset[int]]]:
+    """(dataset, classifier, algo, trial, budgets) of the folders of a cache; a row for each trial comes to the driver."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    kept = spark.read.schema(TRIAL).parquet(cache).groupBy(*TRIAL_KEYS).agg(F.collect_set("budget").alias("budgets"))
+    return {(r["dataset"], r["classifier"], r["algo"], r["trial"], frozenset(r["budgets"])) for r in kept.collect()}
+
+
+def run_trials(tasks: list[tuple[RelGraph, ExperimentConfig, str, int, dict]], cache: str, at_once: int = 1, resume: bool = False, attempts: int = 2) -> list[str]:
+    """Trials (graph, config, algo, trial, parameters of the sampler), ``at_once`` of them at a time; the names of those that ran.
+
+    Each trial's jobs are a job group and a pool of their own, so with ``spark.scheduler.mode`` FAIR the
+    trials share the executors evenly and one can be cancelled without the others.  A trial that fails is
+    tried ``attempts`` times, and the others go on; what still failed is raised at the end by name.  A
+    trial's folder is written when the trial is through, so with ``resume`` whatever ran before a driver was lost
+    is kept, and only the trials are run whose folder is missing or lacks a budget.
+    """
+    if not tasks:
+        return []
+    spark = tasks[0][0].nodes.sparkSession
+    sc = spark.sparkContext
+    if resume:
+        done = finished_trials(spark, cache)
+        has = lambda c, algo, trial: any((c.dataset, c.classifier, algo, trial) == k[:4] and set(c.budgets) <= k[4] for k in done)
+        tasks = [t for t in tasks if not has(t[1], t[2], t[3])]
+    writing = threading.Lock()
+
+    def one(task) -> str:
+        g, config, algo, trial, params = task
+        name = trial_name(config, algo, trial)
+        for attempt in range(attempts):
+            sc.setJobGroup(name, f"{name}, attempt {attempt + 1}", interruptOnCancel=False)
+            sc.setLocalProperty("spark.scheduler.pool", name)
+            try:
+                rows = run_trial(g, config, config.classifier, algo, trial, **params)
+                with writing:
+                    write_trials(rows, cache)
+                return name
+            except Exception as error:
+                log.warning("%s, attempt %d: %s", name, attempt + 1, str(error).split("\n")[0])
+                if attempt + 1 == attempts:
+                    raise
+            finally:
+                sc.setLocalProperty("spark.scheduler.pool", None)
+                sc.setLocalProperty("spark.jobGroup.id", None)
+        raise ValueError("a trial needs an attempt")
+
+    if at_once == 1:
+        outcomes = [_outcome(lambda t=t: one(t)) for t in tasks]
+    else:
+        with ThreadPoolExecutor(at_once) as threads:
+            # each thread has a JVM thread of its own, and so properties of its own
+            futures = [threads.submit(inheritable_thread_target(spark)(one), t) for t in tasks]
+            outcomes = [_outcome(f.result) for f in futures]
+    lost = [(trial_name(t[1], t[2], t[3]), got) for t, got in zip(tasks, outcomes, strict=True) if isinstance(got, Exception)]
+    if lost:
+        raise RuntimeError(f"{len(lost)} of {len(tasks)} trials failed: {', '.join(name for name, _ in lost)}") from lost[0][1]
+    return outcomes
+
+
+def _outcome(work: Callable):
+    try:
+        return work()
+    except Exception as error:
+        return error
+
+
+def run_experiment(g: RelGraph, config: ExperimentConfig, cache: str, cached: bool = False, at_once: int = 1, resume: bool = False, **params) -> DataFrame:
     """All trials of an experiment, kept at ``cache`` in a folder each; with ``cached`` only those are read."""
     if not cached:
-        for trial in range(config.num_trials):
-            for algo in config.algos:
-                write_trials(run_trial(g, config, config.classifier, algo, trial, **params), cache)
+        run_trials([(g, config, algo, trial, params) for trial in range(config.num_trials) for algo in config.algos], cache, at_once, resume)
     return read_trials(g.nodes.sparkSession, cache, dataset=config.dataset, classifier=config.classifier)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -51,16 +52,24 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+_BATCHES = threading.Lock()
+_INSIDE: list[str | None] = []
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
-    """Jobs run inside send Python workers so many rows at a time; the session's own setting is back afterwards."""
+    """Jobs run inside send Python workers so many rows at a time; the session's own setting is back once the last of concurrent users is out."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = dict(spark.conf.getAll).get(key)
-    spark.conf.set(key, str(rows))
+    with _BATCHES:
+        _INSIDE.append(_INSIDE[0] if _INSIDE else dict(spark.conf.getAll).get(key))
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        with _BATCHES:
+            before = _INSIDE.pop()
+            if not _INSIDE:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
