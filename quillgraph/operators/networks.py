@@ -1,9 +1,9 @@
-"""Graph networks learned by gradient descent: a few labelled nodes are learned from in one place, all nodes are scored in parallel.
+"""Graph networks learned by gradient descent: a few labelled nodes are learned from in one place, many in tasks; all nodes are scored in parallel.
 
 The loss is the weighted cross-entropy of ``models.weighted_cross_entropy`` with support weights;
 weights follow Adam, inputs of every layer are dropped at random while learning, and squared
 weights are penalised.  The labelled nodes are a labelling budget; above ``MOST_LABELLED`` of them
-learning raises instead of sampling.
+tasks learn from the rows they read, a job for each step (``fit_in_tasks``).
 """
 
 from __future__ import annotations
@@ -62,43 +62,150 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, epoch
     return layer
 
 
+def means_gradient(net: list[np.ndarray], own, mean, near, near_mean, of, y, w, masks: list[np.ndarray]) -> tuple[float, list[np.ndarray]]:
+    """(loss, gradient of each weight) of two layers of means and a softmax; masks are what dropout multiplies the four inputs and the two first layers by."""
+    n, half = len(own), net[0].shape[1]
+    share = 1 / np.maximum(np.bincount(of, minlength=n), 1)
+    a, b, c, d = (v * m for v, m in zip((own, mean, near, near_mean), masks[:4], strict=True))
+    h0, h1 = (np.hstack([u @ net[0], v @ net[1]]) for u, v in ((a, b), (c, d)))
+    k0, k1 = masks[4:]
+    d0, d1 = np.maximum(h0, 0) * k0, np.maximum(h1, 0) * k1
+    pooled = np.zeros((n, 2 * half))
+    np.add.at(pooled, of, d1 * share[of][:, None])
+    z = np.hstack([d0 @ net[2], pooled @ net[3]])
+    rz = np.maximum(z, 0)
+    loss, g = loss_and_gradient(rz @ net[4] + net[5], y, w)
+    gz = (g @ net[4].T) * (z > 0)
+    g0 = (gz[:, :half] @ net[2].T) * k0 * (h0 > 0)
+    g1 = (gz[:, half:] @ net[3].T)[of] * share[of][:, None] * k1 * (h1 > 0)
+    return loss, [a.T @ g0[:, :half] + c.T @ g1[:, :half], b.T @ g0[:, half:] + d.T @ g1[:, half:], d0.T @ gz[:, :half], pooled.T @ gz[:, half:], rz.T @ g, g.sum(axis=0)]
+
+
+def means_weights(rng, width: int, hidden: int, classes: int) -> list[np.ndarray]:
+    half = hidden // 2
+    return [glorot(rng, width, half), glorot(rng, width, half), glorot(rng, hidden, half), glorot(rng, hidden, half), glorot(rng, hidden, classes), np.zeros(classes)]
+
+
 def fit_means(own: np.ndarray, mean: np.ndarray, near: np.ndarray, near_mean: np.ndarray, of: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, hidden: int = 32, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, seed: int = 0) -> list[np.ndarray]:
     """[own 1, mean 1, own 2, mean 2, dense, bias] of two layers of means and a softmax, learned together.
 
     own, mean: features of the labelled nodes and the means over their sampled neighbours; near,
     near_mean: the same of those neighbours, of: the labelled node of each.
     """
-    rng, n, half = np.random.default_rng(seed), len(own), hidden // 2
-    net = [glorot(rng, own.shape[1], half), glorot(rng, own.shape[1], half), glorot(rng, hidden, half), glorot(rng, hidden, half), glorot(rng, hidden, classes), np.zeros(classes)]
+    rng = np.random.default_rng(seed)
+    net = means_weights(rng, own.shape[1], hidden, classes)
     adam = Adam(net, rate)
-    share = 1 / np.maximum(np.bincount(of, minlength=n), 1)
-    mask = lambda a: (rng.random(a.shape) >= drop) / (1 - drop)
+    shapes = [own.shape, mean.shape, near.shape, near_mean.shape, (len(own), hidden), (len(near), hidden)]
     for _ in range(epochs):
-        a, b, c, d = (v * mask(v) for v in (own, mean, near, near_mean))
-        h0, h1 = (np.hstack([u @ net[0], v @ net[1]]) for u, v in ((a, b), (c, d)))
-        r0, r1 = np.maximum(h0, 0), np.maximum(h1, 0)
-        k0, k1 = mask(r0), mask(r1)
-        d0, d1 = r0 * k0, r1 * k1
-        pooled = np.zeros((n, hidden))
-        np.add.at(pooled, of, d1 * share[of][:, None])
-        z = np.hstack([d0 @ net[2], pooled @ net[3]])
-        rz = np.maximum(z, 0)
-        _, g = loss_and_gradient(rz @ net[4] + net[5], y, w)
-        gz = (g @ net[4].T) * (z > 0)
-        g0 = (gz[:, :half] @ net[2].T) * k0 * (h0 > 0)
-        g1 = (gz[:, half:] @ net[3].T)[of] * share[of][:, None] * k1 * (h1 > 0)
-        adam.step([a.T @ g0[:, :half] + c.T @ g1[:, :half], b.T @ g0[:, half:] + d.T @ g1[:, half:], d0.T @ gz[:, :half], pooled.T @ gz[:, half:], rz.T @ g, g.sum(axis=0)])
+        masks = [(rng.random(s) >= drop) / (1 - drop) for s in shapes]
+        adam.step(means_gradient(net, own, mean, near, near_mean, of, y, w, masks)[1])
     return net
 
 
-def _labelled(g: RelGraph, train: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node_id, class_idx, w) of the nodes to learn from."""
+def row_masks(seed: int, turn: int, marks, sizes: list[int], drop: float) -> list[np.ndarray]:
+    """Dropout factors, ``sizes[i]`` for row i, from the row's mark (a 64-bit hash) alone, so they don't depend on which task has the row."""
+    out = []
+    for mark, size in zip(marks, sizes, strict=True):
+        rng = np.random.Generator(np.random.Philox(key=[(seed & 0xFFFFFFFF) << 32 | turn, int(mark) & 0xFFFFFFFFFFFFFFFF]))
+        out.append((rng.random(size) >= drop) / (1 - drop))
+    return out
+
+
+def means_rows_gradient(net: list[np.ndarray], rows: dict, seed: int, turn: int, samples: int, drop: float) -> tuple[float, list[np.ndarray]]:
+    """(sum of the losses, sums of the gradients) over rows of labelled nodes that carry their neighbours, of which ``samples`` are drawn anew each turn.
+
+    rows: ``mark``, ``x``, ``m0``, ``class_idx``, ``w`` and the lists ``near_x``, ``near_m`` of each node.  A row of a pool with ``samples`` or fewer uses it all.
+    """
+    n, width, hidden = len(rows["mark"]), net[0].shape[0], net[2].shape[0]
+    own, mean = (np.array(rows[c], float).reshape(n, width) for c in ("x", "m0"))
+    picks = []
+    for mark, pool in zip(rows["mark"], rows["near_x"], strict=True):
+        rng = np.random.Generator(np.random.Philox(key=[(seed & 0xFFFFFFFF) << 32 | turn, ~int(mark) & 0xFFFFFFFFFFFFFFFF]))
+        picks.append(np.sort(rng.permutation(len(pool))[:samples]))
+    of = np.repeat(np.arange(n), [len(p) for p in picks])
+    near, near_mean = (np.array([rows[c][i][j] for i, p in enumerate(picks) for j in p], float).reshape(len(of), width) for c in ("near_x", "near_m"))
+    flat = row_masks(seed, turn, rows["mark"], [2 * width + hidden + len(p) * (2 * width + hidden) for p in picks], drop)
+    ahead = [2 * width + hidden] * n
+    top = np.array([f[: 2 * width + hidden] for f in flat]).reshape(n, 2 * width + hidden)
+    rest = np.concatenate([f[k:] for f, k in zip(flat, ahead, strict=True)]).reshape(len(of), 2 * width + hidden) if n else np.zeros((0, 2 * width + hidden))
+    masks = [top[:, :width], top[:, width : 2 * width], rest[:, :width], rest[:, width : 2 * width], top[:, 2 * width :], rest[:, 2 * width :]]
+    loss, gradients = means_gradient(net, own, mean, near, near_mean, of, np.array(rows["class_idx"]), np.array(rows["w"], float), masks)
+    return loss * n, [g * n for g in gradients]
+
+
+def softmax_rows_gradient(layer: list[np.ndarray], rows: dict, seed: int, turn: int, drop: float) -> tuple[float, list[np.ndarray]]:
+    """(sum of the losses, sums of the gradients) of one softmax layer over rows ``mark``, ``x``, ``class_idx``, ``w``."""
+    n, width = len(rows["mark"]), layer[0].shape[0]
+    kept = np.array(rows["x"], float).reshape(n, width) * np.array(row_masks(seed, turn, rows["mark"], [width] * n, drop)).reshape(n, width)
+    loss, g = loss_and_gradient(kept @ layer[0] + layer[1], np.array(rows["class_idx"]), np.array(rows["w"], float))
+    return loss * n, [n * (kept.T @ g), n * g.sum(axis=0)]
+
+
+def _numpy(column) -> np.ndarray | list[np.ndarray]:
+    """An Arrow column as an array: of numbers, of vectors of one length, or (a list) of the vectors of each row's list."""
+    from pyarrow import types
+
+    if not types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    if not types.is_list(column.type.value_type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    inner = column.flatten()
+    ends = np.cumsum([0, *column.value_lengths().to_pylist()])
+    vectors = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1) if len(inner) else np.zeros((0, 0))
+    return [vectors[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def fit_in_tasks(rows: DataFrame, weights: list[np.ndarray], gradient, epochs: int, rate: float, batches: int = 1, penalty: float = 0.0, row_values: int = 4000) -> tuple[list[np.ndarray], list[float]]:
+    """(weights, mean loss of each step), learned by tasks that each keep to the rows they read.
+
+    A step is one job: every task adds up the gradients of its rows, gradients are added by blocks
+    in parallel, and their sum (as long as the weights) comes to the driver, which takes an Adam
+    step.  ``batches`` above 1 deals the rows out by hash anew in each epoch, a step a batch.
+    ``gradient(weights, rows, turn)``; ``penalty`` of the squared first weights; ``row_values``: numbers in
+    the longest row, so a task holds some 30 MB of rows at a time.  A lost task is run again with equal results.
+    """
+    adam, losses, scale = Adam(weights, rate), [], sum(x.size for x in weights)
+    names = rows.columns
+    scratch.ship(rows.sparkSession)
+    for turn in range(epochs * batches):
+        now = [x.copy() for x in weights]
+
+        def work(parts, now=now, turn=turn):
+            import pyarrow as pa
+
+            total = np.zeros(scale + 2)
+            for part in parts:
+                if part.num_rows:
+                    loss, g = gradient(now, {c: _numpy(part.column(c)) for c in names}, turn)
+                    total += np.concatenate([[part.num_rows, loss], *[x.ravel() for x in g]])
+            if total[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["k", "g"])
+
+        batch = rows if batches == 1 else rows.where(F.pmod(F.xxhash64("mark", F.lit(turn // batches)), F.lit(batches)) == turn % batches)
+        with scratch.small_batches(rows.sparkSession, max(1, min(1000, 4_000_000 // row_values))):
+            got = vector_sums(batch.mapInArrow(work, "k int, g array<double>"), ["k"], "g", scale + 2).first()
+        if got is None:
+            continue
+        total, at, steps = np.array(got["g"]), 2, []
+        for x in weights:
+            steps.append(total[at : at + x.size].reshape(x.shape) / total[0])
+            at += x.size
+        steps[0] = steps[0] + 2 * penalty * weights[0]
+        losses.append(float(total[1] / total[0]))
+        adam.step(steps)
+    return weights, losses
+
+
+def _labelled(g: RelGraph, train: DataFrame, classes: DataFrame, in_tasks: bool | None) -> tuple[DataFrame, bool]:
+    """((node_id, class_idx, w) of the nodes to learn from, whether tasks learn from them: by default where they are more than ``MOST_LABELLED``)."""
     rows = g.nodes.join(train.select("node_id"), "node_id", "left_semi")
     n = rows.count()
-    if not 0 < n <= MOST_LABELLED:
-        raise ValueError(f"{n} labelled nodes; the networks learn from 1 to {MOST_LABELLED}")
+    if not n:
+        raise ValueError("the networks need a labelled node")
+    if in_tasks is False and n > MOST_LABELLED:
+        raise ValueError(f"{n} labelled nodes; {MOST_LABELLED} are learned from in one place, any number in tasks")
     w = class_counts(rows).select("label", F.col("support_weight").alias("w"))
-    return rows.join(F.broadcast(classes), "label").join(F.broadcast(w), "label").select("node_id", "class_idx", "w")
+    return rows.join(F.broadcast(classes), "label").join(F.broadcast(w), "label").select("node_id", "class_idx", "w"), n > MOST_LABELLED if in_tasks is None else in_tasks
 
 
 def _dense(rows: DataFrame, *columns: str) -> tuple:
@@ -134,12 +241,18 @@ def _named(scored: DataFrame, g: RelGraph, classes: DataFrame, test: DataFrame)
     return pred.join(test.select("node_id"), "node_id", "left_semi").join(g.nodes, "node_id").select("node_id", "label", "pred")
 
 
-def simple_convolution(g: RelGraph, train: DataFrame, test: DataFrame, hops: int = 2, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, penalty: float = 5e-4, seed: int = 0) -> DataFrame:
+def simple_convolution(g: RelGraph, train: DataFrame, test: DataFrame, hops: int = 2, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, penalty: float = 5e-4, seed: int = 0, in_tasks: bool | None = None, batches: int = 1) -> DataFrame:
     """Features averaged over ``hops`` rounds of the symmetric normalisation, then one softmax layer with dropout, weighted classes, and Adam."""
     classes = g.classes()
     x = scratch.materialise(propagate(g.features, g.edges, "sym", hops).select("node_id", "features"), "convolved")
-    rows, y, w = _dense(_labelled(g, train, classes).join(x, "node_id"), "features", "class_idx", "w")
-    layer = fit_softmax(rows, y.astype(int), w.astype(float), classes.count(), epochs, rate, drop, penalty, seed)
+    known, spread = _labelled(g, train, classes, in_tasks)
+    if spread:
+        rows = scratch.materialise(known.join(x.withColumnRenamed("features", "x"), "node_id").select(F.xxhash64("node_id").alias("mark"), "x", "class_idx", "w"), "labelled")
+        start = [glorot(np.random.default_rng(seed), width_of(x), classes.count()), np.zeros(classes.count())]
+        layer, _ = fit_in_tasks(rows, start, lambda now, part, turn: softmax_rows_gradient(now, part, seed, turn, drop), epochs, rate, batches, penalty, start[0].shape[0])
+    else:
+        rows, y, w = _dense(known.join(x, "node_id"), "features", "class_idx", "w")
+        layer = fit_softmax(rows, y.astype(int), w.astype(float), classes.count(), epochs, rate, drop, penalty, seed)
     scored = _apply(x, ["features"], lambda v: (v @ layer[0] + layer[1]).argmax(axis=1).astype(np.int32), "class_idx", "int")
     return _named(scored, g, classes, test)
 
@@ -150,11 +263,20 @@ def neighbour_means(near: DataFrame, x: DataFrame, column: str) -> DataFrame:
     return vector_sums(joined.withColumnRenamed("node", "node_id"), ["node_id"], "m", width_of(x, column), mean=True)
 
 
-def sampled_means(g: RelGraph, train: DataFrame, test: DataFrame, samples: tuple[int, int] = (10, 5), hidden: int = 32, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, seed: int = 0) -> DataFrame:
+def _fit_in_place(known: DataFrame, means: DataFrame, outer: DataFrame, classes: int, hidden: int, epochs: int, rate: float, drop: float, seed: int) -> list[np.ndarray]:
+    """The weights of ``sampled_means`` from the collected rows of at most ``MOST_LABELLED`` labelled nodes."""
+    own, mean, y, w, ids = _dense(known.join(means, "node_id"), "x", "m0", "class_idx", "w", "node_id")
+    around = outer.join(known.select(F.col("node_id").alias("node")), "node", "left_semi").join(means.select(F.col("node_id").alias("nbr"), "x", "m1"), "nbr").select(F.col("node").alias("node_id"), "x", "m1")
+    near, near_mean, of = _dense(around, "x", "m1", "node_id")
+    at = {v: i for i, v in enumerate(ids.tolist())}
+    return fit_means(own, mean, near, near_mean, np.array([at[v] for v in of.tolist()]), y.astype(int), w.astype(float), classes, hidden, epochs, rate, drop, seed)
+
+
+def sampled_means(g: RelGraph, train: DataFrame, test: DataFrame, samples: tuple[int, int] = (10, 5), hidden: int = 32, epochs: int = 50, rate: float = 0.2, drop: float = 0.5, seed: int = 0, in_tasks: bool | None = None, batches: int = 1, pool: int = 4) -> DataFrame:
     """Two layers that join a node with the mean of sampled neighbours, learned end to end; isolates are left out.
 
     The neighbours are sampled once, by hash: ``samples[0]`` of each node, and ``samples[1]`` of
-    each of these.
+    each of these.  Learning in tasks draws ``samples[0]`` neighbours anew in each step, from a pool of ``pool`` times as many of each node.
     """
     nodes = drop_isolates(g.nodes, g.edges)
     inner = RelGraph(nodes, g.edges, g.features.join(nodes.select("node_id"), "node_id", "left_semi"))
@@ -163,12 +285,17 @@ def sampled_means(g: RelGraph, train: DataFrame, test: DataFrame, samples: tuple
     outer = scratch.materialise(sampled_neighbours(inner.adj, samples[0], seed), "near")
     means = x.join(neighbour_means(outer, x, "x").withColumnRenamed("m", "m0"), "node_id").join(neighbour_means(sampled_neighbours(inner.adj, samples[1], seed + 1), x, "x").withColumnRenamed("m", "m1"), "node_id")
     means = scratch.materialise(means, "means")
-    known = scratch.materialise(_labelled(inner, train, classes), "labelled")
-    own, mean, y, w, ids = _dense(known.join(means, "node_id"), "x", "m0", "class_idx", "w", "node_id")
-    around = outer.join(known.select(F.col("node_id").alias("node")), "node", "left_semi").join(means.select(F.col("node_id").alias("nbr"), "x", "m1"), "nbr").select(F.col("node").alias("node_id"), "x", "m1")
-    near, near_mean, of = _dense(around, "x", "m1", "node_id")
-    at = {v: i for i, v in enumerate(ids.tolist())}
-    net = fit_means(own, mean, near, near_mean, np.array([at[v] for v in of.tolist()]), y.astype(int), w.astype(float), classes.count(), hidden, epochs, rate, drop, seed)
+    known, spread = _labelled(inner, train, classes, in_tasks)
+    known = scratch.materialise(known, "labelled")
+    if spread:
+        wide = sampled_neighbours(inner.adj.join(known.select(F.col("node_id").alias("node")), "node", "left_semi"), pool * samples[0], seed)
+        # pool x samples neighbours of a node at most
+        lists = wide.join(means.select(F.col("node_id").alias("nbr"), "x", "m1"), "nbr").groupBy(F.col("node").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("nbr", "x", "m1"))).alias("_near"))
+        rows = known.join(means.select("node_id", "x", "m0"), "node_id").join(lists, "node_id").select(F.xxhash64("node_id").alias("mark"), "x", "m0", "class_idx", "w", F.transform("_near", lambda e: e["x"]).alias("near_x"), F.transform("_near", lambda e: e["m1"]).alias("near_m"))
+        start = means_weights(np.random.default_rng(seed), width_of(x, "x"), hidden, classes.count())
+        net, _ = fit_in_tasks(scratch.materialise(rows, "egos"), start, lambda now, part, turn: means_rows_gradient(now, part, seed, turn, samples[0], drop), epochs, rate, batches, row_values=(pool * samples[0] + 1) * 2 * start[0].shape[0])
+    else:
+        net = _fit_in_place(known, means, outer, classes.count(), hidden, epochs, rate, drop, seed)
     layer = lambda a, b: np.maximum(np.hstack([a @ net[0], b @ net[1]]), 0)
     first = scratch.materialise(_apply(means, ["x", "m1"], layer, "h", "array<double>"), "hidden")
     pooled = neighbour_means(outer, first, "h")
