@@ -291,6 +291,24 @@ def test_path_centralities_by_levels(spark, monkeypatch):
     assert max(abs(r["betweenness"] - node.get(r["node_id"], 0.0) * scale) for r in some.collect()) < structure.pivot_error(12, n)
 
 
+def test_path_centralities_in_blocks(spark, monkeypatch):
+    """Many ranges of nodes and groups of sources give what one of each gives; no block has more cells than asked for."""
+    from quillgraph.operators import path_blocks
+
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)} | {(0, i) for i in range(20, 30)} | {(50, 51)})
+    e = undirected(spark.createDataFrame(pairs, "src long, dst long")).cache()
+    read = lambda: tuple({tuple(r)[:-k]: tuple(r)[-k:] for r in df.collect()} for df, k in zip(structure.path_centralities(e), (3, 1), strict=True))
+    want = read()
+    monkeypatch.setattr(path_blocks, "RANGE", 16)
+    monkeypatch.setattr(path_blocks, "CELLS", 160)
+    monkeypatch.setattr(path_blocks, "CHUNK", 4)
+    got = read()
+    for one, other in zip(got, want, strict=True):
+        assert one.keys() == other.keys() and all(one[x] == pytest.approx(other[x]) for x in one)
+    assert len(got[1]) == len(pairs)
+
+
 def test_median_square(spark, monkeypatch):
     monkeypatch.setattr(metric, "_FEW", 40)
     rng = np.random.default_rng(3)
