@@ -411,3 +411,18 @@ def test_warc_files(spark, tmp_path):
         assert all(bytes(r["payload"]).decode() in {t or "" for _, _, t in rows} for r in got if r["record_type"] == "response")
     warc.write_warc(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_lm_mixes_the_whole_path():
+    """A word has a decision for every level of its path, deep ones too, and costs nothing beside them."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(60)]
+    model, counts, _ = plain_model(rows, [False] * len(rows), 30)
+    t = tokens_of(" ".join(words[:50]))
+    none, count = np.zeros(len(t.hash), np.int64), np.array([counts[x] for x in t.hash.tolist()])
+    leaf = model.leaves(model.symbols(t.hash), count)
+    t.kind = t.classes()
+    _, gate, _, size, outside = context_mixing.decisions(t, model, 0, len(t.hash), leaf, count, none, context_mixing.followers(none, none, none, none, none), none)
+    assert size.tolist() == model.tree.size[leaf].tolist() and size.max() > 7
+    assert not outside.any() and set(gate.tolist()) == {0, 1, 2}
