@@ -85,3 +85,22 @@ def test_many_labelled_nodes(spark, graph, monkeypatch):
         networks.simple_convolution(graph, train, test, in_tasks=False)
     with pytest.raises(ValueError, match="a labelled node"):
         networks.simple_convolution(graph, train.limit(0), test)
+
+
+def test_rows_become_arrays_once(spark):
+    """A step works on arrays that are kept: the table is not read again."""
+    df, rows = egos(spark, 40, 6, 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    step = lambda now, part, turn: networks.means_rows_gradient(now, part, 5, turn, 2, 0.3)
+    start = lambda: networks.means_weights(np.random.default_rng(3), 6, 8, 3)
+    want, _ = plain(rows, start(), step, 6, 0.05)
+    got, losses = networks.fit_in_tasks(df.mapInArrow(counted, df.schema), start(), step, 6, 0.05)
+    assert seen.value == 40 and len(losses) == 6
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
