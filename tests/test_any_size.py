@@ -344,3 +344,27 @@ def test_thin_kernel_and_its_clusters(spark):
         own = [i for i in range(0, n, 2) if of[i] == of[r["node_id"]]]
         mean = {i: (f[i] @ f[own].T).mean() for i in own}
         assert mean[r["node_id"]] == pytest.approx(max(mean.values()))
+
+
+@pytest.mark.parametrize("mode", [True, False])
+def test_labels_over_several_blocks(spark, monkeypatch, mode):
+    """Labels inferred on blocks of a few nodes against plain loops: one after the other, and all at once."""
+    from quillgraph.operators import label_blocks
+
+    monkeypatch.setattr(label_blocks, "ARCS", 30)
+    rng = np.random.default_rng(3)
+    n, classes, rounds = 40, 3, 4
+    pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, n, (90, 2)).tolist()})
+    near = {v: sorted({b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}) for v in range(n)}
+    base = {v: rng.normal(size=classes) for v in range(n) if v % 4}
+    weights = rng.normal(size=(classes, classes)) / 2
+    now = {v: int(rng.integers(classes)) for v in range(n) if v % 7}
+    rows = [(v * 10, now.get(v), base[v].tolist() if v in base else None) for v in range(n)]
+    arcs = [(v * 10, u * 10) for v in base for u in near[v]]
+    got = label_blocks.inferred(spark.createDataFrame(rows, "node_id long, c int, base array<double>"), spark.createDataFrame(arcs, "node long, nbr long"), weights, "count", rounds, mode)
+    for _ in range(rounds):
+        seen = now if mode else dict(now)
+        for v in sorted(base):
+            agg = np.bincount([seen[u] for u in near[v] if u in seen], minlength=classes)
+            now[v] = int(np.argmax(base[v] + weights @ agg))
+    assert {r["node_id"] // 10: r["c"] for r in got.collect()} == now
