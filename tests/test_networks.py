@@ -104,3 +104,17 @@ def test_rows_become_arrays_once(spark):
     assert seen.value == 40 and len(losses) == 6
     for a, b in zip(got, want, strict=True):
         np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
+
+
+def test_lists_of_vectors_are_not_written(spark, graph, monkeypatch):
+    """Spark's reader would hold thousands of rows of 40 vectors at once; what tasks learn from goes to blocks of a bounded size without a table between."""
+    written, whole, blocks = [], networks.scratch.materialise, []
+    monkeypatch.setattr(networks.scratch, "materialise", lambda df, name, *a: written.append([k for _, k in df.dtypes]) or whole(df, name, *a))
+    limit = networks.scratch.small_batches
+    monkeypatch.setattr(networks.scratch, "small_batches", lambda s, rows=1000: blocks.append(rows) or limit(s, rows))
+    train = graph.nodes.where("node_id % 2 = 0")
+    got = networks.sampled_means(graph, train, graph.nodes.where("node_id % 2 = 1"), epochs=1, in_tasks=True)
+    assert got.count() > 0
+    assert written and not any("array<array" in k for kinds in written for k in kinds)
+    width = len(graph.features.first()["features"])
+    assert all(rows * 41 * 2 * width <= networks.BLOCK_VALUES or rows == 1 for rows in blocks if rows != 1000)
